@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, secrets, shards
+from . import bpe, exact, packing, secrets, shards, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_secrets": secrets.op1_secrets,
         "op3_exact": exact.op3_exact,
         "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_packing": packing.op9_packing,
         "op10_shards": shards.op10_shards,
     }
 
