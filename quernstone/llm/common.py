@@ -108,17 +108,17 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, have, power, width, step = np.zeros(len(hashes), np.uint64), 0, hashes, 1, _B
+    out, have, power, width, step = np.zeros(len(hashes), np.uint64), 0, hashes, 1, int(_B)
     while True:
         if k & width:
             tail = len(hashes) - have
-            out[:tail] = out[:tail] * step + power[have : have + tail] if have else power[:tail]
+            out[:tail] = out[:tail] * _U(step) + power[have : have + tail] if have else power[:tail]
             have += width
         if have == k:
             return mix(out[:n])
         shorter = len(power) - width
-        power = np.concatenate([power[:shorter] * step + power[width:], power[shorter:]])
-        step, width = step * step, width * 2
+        power = np.concatenate([power[:shorter] * _U(step) + power[width:], power[shorter:]])
+        step, width = step * step % (1 << 64), width * 2
 
 
 def inside(first: np.ndarray, k: int) -> np.ndarray:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, packing, secrets, shards, toxicity
+from . import bpe, exact, neardup, packing, secrets, shards, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_secrets": secrets.op1_secrets,
+        "op2_near_dedup": neardup.op2_near_dedup,
         "op3_exact": exact.op3_exact,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op8_toxicity": toxicity.op8_toxicity,
