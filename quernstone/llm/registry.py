@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, neardup, packing, secrets, shards, toxicity
+from . import bpe, exact, neardup, packing, secrets, shards, substrings, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_near_dedup": neardup.op2_near_dedup,
         "op3_exact": exact.op3_exact,
         "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op7_substrings": substrings.op7_substrings,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_packing": packing.op9_packing,
         "op10_shards": shards.op10_shards,
