@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, neardup, packing, secrets, shards, substrings, toxicity
+from . import ann, bpe, exact, lm, neardup, packing, secrets, shards, substrings, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_near_dedup": neardup.op2_near_dedup,
         "op3_exact": exact.op3_exact,
         "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op5_ann": ann.op5_ann,
+        "op6_lm_scores": lm.op6_lm_scores,
         "op7_substrings": substrings.op7_substrings,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_packing": packing.op9_packing,
