@@ -92,7 +92,8 @@ class Words:
         place = np.arange(len(kept)) - np.repeat(at, lengths)
         values = table[kept] * _POWERS[place % _LONG]
         if lengths.max() > _LONG:
-            values = values * mix((place // _LONG).astype(np.uint64) + _B)
+            far = np.flatnonzero(place >= _LONG)
+            values[far] *= mix((place[far] // _LONG).astype(np.uint64) + _B)
         return mix(np.add.reduceat(values, at) + lengths.astype(np.uint64) * _B)
 
     def __len__(self) -> int:

@@ -140,7 +140,8 @@ class Vocabulary:
         place = np.arange(len(kept)) - np.repeat(at, lengths)
         terms = values[kept] * powers[place % len(powers)]
         if lengths.max(initial=0) > len(powers):
-            terms = terms * common.mix((place // len(powers)).astype(np.uint64) + np.uint64(77))
+            far = np.flatnonzero(place >= len(powers))
+            terms[far] *= common.mix((place[far] // len(powers)).astype(np.uint64) + np.uint64(77))
         hashes = (common.mix(np.add.reduceat(terms, at) + lengths.astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)) | np.uint64(1)
         first = np.searchsorted(starts, offs)
         ids, sizes = self.of_words(lambda i: whole[starts[i] : ends[i]], hashes)
