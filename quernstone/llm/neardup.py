@@ -244,7 +244,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = members.select(F.least("doc_id", "lo").alias("a"), F.greatest("doc_id", "lo").alias("b")).union(members.select(F.least("doc_id", "hi").alias("a"), F.greatest("doc_id", "hi").alias("b")))
     tried = links = common.saved(pairs.where("a < b").distinct(), "links")
     while True:
-        needed = texts.join(links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        needed = texts.join(links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct().hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
         good = common.saved(verified(links, common.saved(needed, "texts"), idf, threshold), "held")
         if good.isEmpty():
             break
@@ -259,7 +259,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         tried = tried.unionByName(links)
     of_rep = whole.join(labels, whole["rep"] == labels["doc_id"], "left").select("h1", "h2", F.coalesce("c", "rep").alias("class_id"))
     placed = common.saved(rows.select("doc_id", "h1", "h2").groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2").join(of_rep, ["h1", "h2"]).select("doc_id", "class_id"), "placed")
-    sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    sizes = common.saved(placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "sizes")
     return placed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
