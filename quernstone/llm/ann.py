@@ -31,7 +31,7 @@ from . import common
 
 SAMPLE, BRANCH, LEAF = 20_000, 16, 120
 CALIBRATION, RECALL = 200, 0.97
-BLOCK = 4096
+BLOCK, QUERIES = 4096, 20_000
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -202,8 +202,9 @@ def search(embeddings: DataFrame, k: int = 5, every: int = 50, recall: float = R
     blocks = {leaf: -(-n // BLOCK) for leaf, n in leaf_sizes.items()}
     many = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair if blocks[pair[0]] > 1]) if any(n > 1 for n in blocks.values()) else None
     of = lambda c: F.coalesce(many[c], F.lit(1)) if many is not None else F.lit(1)
-    stored = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), of(F.col("leaf"))).cast("int"))
-    visiting = asked.select("vec_id", "v").mapInArrow(routed, "query_id long, q array<double>, leaf int").withColumn("block", F.explode(F.sequence(F.lit(0), of(F.col("leaf")).cast("int") - 1)))
+    parts = -(-asked.count() // QUERIES) or 1  # a block meets its leaf's queries in parts, too
+    stored = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), of(F.col("leaf"))).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    visiting = asked.select("vec_id", "v").mapInArrow(routed, "query_id long, q array<double>, leaf int").withColumn("block", F.explode(F.sequence(F.lit(0), of(F.col("leaf")).cast("int") - 1))).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
 
     def met(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -213,7 +214,7 @@ def search(embeddings: DataFrame, k: int = 5, every: int = 50, recall: float = R
                 out += [(query, c, s) for c, s in _best(ids, vectors, query, np.array(q, np.float64), k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    pairs = stored.groupBy("leaf", "block").cogroup(visiting.groupBy("leaf", "block")).applyInPandas(met, "query_id long, vec_id long, score double")
+    pairs = stored.groupBy("leaf", "block", "part").cogroup(visiting.groupBy("leaf", "block", "part")).applyInPandas(met, "query_id long, vec_id long, score double")
     ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

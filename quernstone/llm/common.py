@@ -146,10 +146,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return base
 
 
+def _removed(context, path: str) -> None:
+    """At the end of the driver, unless Spark has ended before it."""
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder and read again: lost executors cost a reread, not a recomputation."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_removed, spark.sparkContext, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
