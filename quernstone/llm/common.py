@@ -122,6 +122,13 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
         step, width = step * step % (1 << 64), width * 2
 
 
+def folded(hashes: np.ndarray) -> np.uint64:
+    """One hash of a sequence of hashes."""
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(len(hashes), 0xC2B2AE3D27D4EB4F, np.uint64))
+        return np.uint64((hashes * powers).sum(dtype=np.uint64) + _U(len(hashes)))
+
+
 def inside(first: np.ndarray, k: int) -> np.ndarray:
     """Which runs of k consecutive words lie in one text."""
     total = int(first[-1])

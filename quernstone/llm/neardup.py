@@ -58,19 +58,12 @@ def shingles(words: common.Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     if not len(short):
         return long_hashes, np.concatenate([[0], np.cumsum(n)])
     begin = np.concatenate([[0], np.cumsum(n)])
-    own = np.array([common.mix(np.array([int(_fold(words.hashes[first[i] : first[i + 1]]))], np.uint64))[0] for i in short], np.uint64)
+    own = np.array([common.mix(np.array([int(common.folded(words.hashes[first[i] : first[i + 1]]))], np.uint64))[0] for i in short], np.uint64)
     out = np.insert(long_hashes, begin[short], own)
     n[short] = 1
     return out, np.concatenate([[0], np.cumsum(n)])
 
 
-def _fold(hashes: np.ndarray) -> np.uint64:
-    """One hash of a sequence of hashes."""
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(len(hashes), 0xC2B2AE3D27D4EB4F, np.uint64))
-        return np.uint64((hashes * powers).sum(dtype=np.uint64) + _U(len(hashes)))
-
-
 def _set_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(hashes, return_counts=True)
 
@@ -167,8 +160,8 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             keys, a, b = [], [], []
             for i in range(batch.num_rows):
                 own = words.hashes[words.first[i] : words.first[i + 1]]
-                a.append(int(_fold(own)) - (1 << 63))
-                b.append(int(_fold(common.mix(own + _U(5)))) - (1 << 63))
+                a.append(int(common.folded(own)) - (1 << 63))
+                b.append(int(common.folded(common.mix(own + _U(5)))) - (1 << 63))
                 one, counts = _set_of(found[begin[i] : begin[i + 1]])
                 keys.append(bands(samples(one, weights(one, counts, idf))).view(np.int64) if len(one) else None)
             yield common.batch_of(doc_id=batch.column("doc_id"), h1=pa.array(a, pa.int64()), h2=pa.array(b, pa.int64()), keys=pa.array(keys, pa.list_(pa.int64())))

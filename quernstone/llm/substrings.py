@@ -117,15 +117,13 @@ def anchors(words: common.Words, window: int = WINDOW) -> tuple[np.ndarray, np.n
 
 def _profiles(window: int):
     def run(batches):
-        from .neardup import _fold
-
         for batch in common.slices(batches):
             words = common.Words(batch.column("text"))
             at, hashes = anchors(words, window)
             cut = np.searchsorted(at, words.first)
             whole = [words.hashes[words.first[i] : words.first[i + 1]] for i in range(batch.num_rows)]
-            h1 = [int(_fold(w)) - (1 << 63) for w in whole]
-            h2 = [int(_fold(common.mix(w + np.uint64(5)))) - (1 << 63) for w in whole]
+            h1 = [int(common.folded(w)) - (1 << 63) for w in whole]
+            h2 = [int(common.folded(common.mix(w + np.uint64(5)))) - (1 << 63) for w in whole]
             place = (at - np.repeat(words.first[:-1], np.diff(cut))).astype(np.int32)
             lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, kind))
             yield common.batch_of(doc_id=batch.column("doc_id"), k=batch.column("k"), n=pa.array(words.counts, pa.int64()), h1=pa.array(h1, pa.int64()), h2=pa.array(h2, pa.int64()), anchors=lists(hashes.view(np.int64), pa.int64()), places=lists(place, pa.int32()))
