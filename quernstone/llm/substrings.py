@@ -12,8 +12,9 @@ before them; where the longest match that ends at a word has the window's length
 after which the stretch joins the reference. Matches are of words, not of hashes.
 
 Texts with the same words are settled before: all but those with the smallest doc_id go whole (if they have a window at all), and
-only that document's anchors are counted. A shard with more than ``HOT`` stretches isn't put in one task: its windows are
-aggregated by hash to the smallest doc_id, before and after a shuffle that can split them.
+only that document's anchors are counted. A shard with more than ``HOT`` stretches isn't put in one task: the smallest document
+of each of its windows is found by sums that are taken before the shuffle too, and those of windows that recur (as many as the
+shard has different ones, however many documents hold them) are sent to its stretches wherever these are.
 
 Null texts have no words, shorter texts than a window lose none. Rows with equal doc_id don't remove each
 other's words. Further columns are ignored. An empty table gives an empty table.
@@ -178,16 +179,71 @@ def _streamed(window: int):
     return run
 
 
-def _hot_windows(window: int):
+def _windows_of(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the windows of some stretches, the row of each, and where in the stretch it begins."""
+    words = common.Words(batch.column("words").cast(pa.large_string()))
+    ok = np.flatnonzero(common.inside(words.first, window))
+    row = common.owners(words.first)[ok]
+    return common.windows(words.hashes, window)[ok], row, ok - words.first[:-1][row]
+
+
+def _first_holders(window: int):
+    """(anchor, w, lo, hi): the smallest and the largest document of each window of a hot shard, over a task's stretches."""
+
+    def merged(parts):
+        a, w, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.lexsort((w, a))
+        a, w, lo, hi = a[by], w[by], lo[by], hi[by]
+        cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])]))
+        return a[cut], w[cut], np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut)
+
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
-            texts = pa.array([d.decode() for d in batch.column("words").to_pylist()], pa.large_string())
-            words = common.Words(texts)
-            ok = np.flatnonzero(common.inside(words.first, window))
-            row = common.owners(words.first)[ok]
-            start = ok - words.first[:-1][row] + batch.column("start").to_numpy(zero_copy_only=False)[row]
-            take = pa.array(row)
-            yield common.batch_of(w=pa.array(common.windows(words.hashes, window)[ok].view(np.int64)), doc_id=batch.column("doc_id").take(take), k=batch.column("k").take(take), begin=pa.array(start, pa.int32()))
+            if not batch.num_rows:
+                continue
+            w, row, _ = _windows_of(batch, window)
+            doc = batch.column("doc_id").to_numpy()[row]
+            parts.append((batch.column("anchor").to_numpy()[row], w.view(np.int64), doc, doc))
+            held += len(w)
+            if held > 1_000_000:
+                parts = [merged(parts)]
+                held = len(parts[0][0])
+                if held > 500_000:
+                    yield common.batch_of(**dict(zip(("anchor", "w", "lo", "hi"), map(pa.array, parts[0]), strict=True)))
+                    parts, held = [], 0
+        if held:
+            yield common.batch_of(**dict(zip(("anchor", "w", "lo", "hi"), map(pa.array, merged(parts)), strict=True)))
+
+    return run
+
+
+def _against_holders(window: int):
+    """Stretches of hot shards with the windows (w, lo) that recur around their anchor: the spans that a smaller document holds too."""
+
+    def run(batches):
+        anchor, ws, los = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hashes, rows, begins = _windows_of(batch, window)
+            cut, out = np.searchsorted(rows, np.arange(batch.num_rows + 1)), []
+            columns = [batch.column(c).to_pylist() for c in ("anchor", "doc_id", "k", "start")]
+            for i, (a, d, k, start) in enumerate(zip(*columns, strict=True)):
+                if a != anchor:
+                    told = batch.column("told")[i].values
+                    ws, los, anchor = told.field("w").to_numpy(), told.field("lo").to_numpy(), a
+                    by = np.argsort(ws)
+                    ws, los = ws[by], los[by]
+                own = hashes[cut[i] : cut[i + 1]].view(np.int64)
+                at = np.minimum(np.searchsorted(ws, own), len(ws) - 1)
+                gone = begins[cut[i] : cut[i + 1]][(ws[at] == own) & (los[at] < d)]
+                ends = np.zeros(int(gone.max(initial=0)) + window, np.int64)
+                ends[gone + window - 1] = window
+                out += [(d, k, start + b, start + e) for b, e in spans(ends.tolist(), window)] if len(gone) else []
+            if out:
+                columns = list(zip(*out, strict=True))
+                yield common.batch_of(doc_id=pa.array(columns[0], pa.int64()), k=pa.array(columns[1], pa.int64()), begin=pa.array(columns[2], pa.int32()), end=pa.array(columns[3], pa.int32()))
 
     return run
 
@@ -210,9 +266,10 @@ def repeated(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame
     span = "doc_id long, k long, begin int, end int"
     found = stretches(hits.where(F.col("n") <= hot)).repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_streamed(window), span)
     if not shared.where(F.col("n") > hot).isEmpty():
-        wide = common.saved(stretches(hits.where(F.col("n") > hot)).mapInArrow(_hot_windows(window), "w long, doc_id long, k long, begin int").distinct(), "wide")
-        least = common.saved(wide.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w", "lo"), "least")
-        found = found.unionByName(wide.join(least, "w").where("doc_id > lo").select("doc_id", "k", "begin", (F.col("begin") + window).alias("end")))
+        heated = common.saved(stretches(hits.where(F.col("n") > hot)), "heated")
+        held = heated.mapInArrow(_first_holders(window), "anchor long, w long, lo long, hi long").groupBy("anchor", "w").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+        told = common.saved(held.groupBy("anchor").agg(F.collect_list(F.struct("w", "lo")).alias("told")), "told")
+        found = found.unionByName(heated.join(told, "anchor").mapInArrow(_against_holders(window), span))
     cut = found.groupBy("doc_id", "k").agg(F.collect_set(F.struct("begin", "end")).alias("spans")).withColumn("whole", F.lit(False))
     return cut.unionByName(copies.withColumn("spans", F.lit(None).cast("array<struct<begin:int,end:int>>")).withColumn("whole", F.lit(True)))
 
