@@ -10,10 +10,10 @@ share among the rest. Vectors are learned by noise-contrastive estimation, with
 of neighbouring classes over all training texts: those counts are all that the objective depends on, and their number is bounded
 by VOCAB squared while every text takes part.
 
-Counts of all words are exact and stay distributed. Only the ``FREQUENT`` largest are broadcast, a bounded table; other
+Counts of all words are exact and stay distributed. Only those of the most frequent words, at most ``FREQUENT``, are broadcast, a bounded table; other
 words, none of which is a hot key, meet their counts in a join.
 
-Null and empty texts consist of the end token. Rows with equal doc_id are scored each for itself (identical rows give identical scores). Further
+Null and empty texts consist of the end token. Rows with equal doc_id are scored each for itself. Further
 columns are ignored. An empty table gives an empty table; without training texts every probability is the smoothed one of
 nothing seen.
 """
@@ -24,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,7 +184,14 @@ def train(pairs: np.ndarray, seed: int = 5) -> np.ndarray:
 def fit(docs: DataFrame, counts: DataFrame) -> tuple[Lookup, Model]:
     """counts: what word_counts() gives, saved."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "w").limit(FREQUENT).toPandas()
+    # the least count of a frequent word, from a histogram: no task sends more to the driver than the frequent words it holds
+    scale = F.floor(F.log2("c") * 16).cast("int")
+    held, least = 0, 1 << 20
+    for r in sorted(counts.groupBy(scale.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if (held := held + r["n"]) > FREQUENT:
+            break
+        least = r["b"]
+    top = counts.where((scale >= least) | (F.col("w") == F.lit(int(END_HASH.astype(np.int64))))).toPandas().sort_values(["c", "w"], ascending=[False, True])
     hashes, c = top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     words = np.flatnonzero(hashes != END_HASH)[: VOCAB - 2]
     classes = np.full(len(hashes), REST, np.int32)
@@ -204,6 +212,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         look, m = shared.value
+        row = TaskContext.get().partitionId() << 33
         for batch in common.slices(batches):
             tokens, first = _tokens(batch.column("text"))
             frequent, c, classes = look(tokens)
@@ -213,23 +222,28 @@ def score(docs: DataFrame) -> DataFrame:
             before[at] = END
             lm = m.log10[before, classes].astype(np.float64)
             rest = classes == REST
-            lm[rest & frequent] += np.log10((c[rest & frequent] + SMOOTH) / lm_rest)
-            base = np.where(frequent, np.log10((c + SMOOTH) / base_rest), 0.0)
+            lm[rest & frequent] += np.log10(c[rest & frequent] + SMOOTH)
+            lm[rest] -= np.log10(lm_rest)
+            base = np.where(frequent, np.log10(c + SMOOTH), 0.0) - np.log10(base_rest)
+            # words that aren't frequent, each once a text, with how often they occur
             rare = np.flatnonzero(~frequent)
-            cut = np.searchsorted(rare, first)
-            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(tokens[rare].view(np.int64)))
+            by = rare[np.lexsort((tokens[rare], common.owners(first)[rare]))]
+            owner = common.owners(first)[by]
+            new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (tokens[by][1:] != tokens[by][:-1])])) if len(by) else np.zeros(0, np.int64)
+            cut = pa.array(np.searchsorted(owner[new], np.arange(batch.num_rows + 1)), pa.int32())
+            words = pa.ListArray.from_arrays(cut, pa.array(tokens[by][new].view(np.int64)))
+            times = pa.ListArray.from_arrays(cut, pa.array(np.diff(np.append(new, len(by))).astype(np.int32)))
             add = np.add.reduceat
-            yield common.batch_of(doc_id=batch.column("doc_id"), n_tokens=pa.array(np.diff(first)), n_known=pa.array(add(frequent.astype(np.int64), at)), base=pa.array(add(base, at)), lm=pa.array(add(lm, at)), rare=lists)
-
-    rows = common.saved(common.texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, lm double, rare array<long>"), "scored").withColumn("row", F.struct("doc_id", "n_tokens", "base", "lm"))
-    each = rows.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count(F.lit(1)).alias("n"))
-    met = each.join(counts, "w", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    tails = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10((F.col("c") + SMOOTH) / F.lit(base_rest))).alias("base_tail"), F.sum(F.col("n") * F.log10((F.col("c") + SMOOTH) / F.lit(lm_rest))).alias("lm_tail"), F.sum("n").alias("all"))
-    # identical rows share one key: each takes its own share of what the key has gathered
-    shares = tails.select("row", *[(F.col(x) * F.lit(1.0)).alias(x) for x in ("known", "base_tail", "lm_tail", "all")])
-    sized = rows.select("row", "doc_id", "n_tokens", "n_known", "base", "lm", F.size("rare").alias("tail")).join(shares, "row", "left")
-    share = lambda c: F.coalesce(F.col(c) * F.col("tail") / F.col("all"), F.lit(0.0))
-    return sized.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + F.round(share("known")).cast("long")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + share("base_tail")).alias("base_score"), (F.col("lm") + share("lm_tail")).alias("score"))
+            yield common.batch_of(row=pa.array(row + np.arange(batch.num_rows)), doc_id=batch.column("doc_id"), n_tokens=pa.array(np.diff(first)), n_known=pa.array(add(frequent.astype(np.int64), at)), base=pa.array(add(base, at)), lm=pa.array(add(lm, at)), words=words, times=times)
+            row += batch.num_rows
+
+    rows = common.saved(common.texts_of(docs).mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, lm double, words array<long>, times array<int>"), "scored")
+    each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("w"), F.col("x.times").alias("n"))
+    met = each.join(counts, "w", "left").select("row", F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("tail"))
+    # a text's rare words come from all partitions: sums taken before this shuffle would spare little
+    tails = met.repartition("row").groupBy("row").agg(F.sum("known").alias("known"), F.sum("tail").alias("tail"))
+    tail = F.coalesce("tail", F.lit(0.0))
+    return rows.drop("words", "times").join(tails, "row", "left").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + tail).alias("base_score"), (F.col("lm") + tail).alias("score"))
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
