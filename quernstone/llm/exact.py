@@ -1,7 +1,8 @@
 """Exact dedup by content sort.
 
-Texts are lower-cased in A-Z only and compared as bytes. Sampled splitters range-partition the pairs (bytes, doc_id), each
-partition is sorted outside memory where needed, and equals stand next to each other: a run of equal texts is found by
+Texts are lower-cased in A-Z only and compared as bytes. Sampled splitters range-partition the triples (first ``HEAD`` bytes,
+digest, doc_id), so that samples stay small however long texts are; each partition is sorted by these and the whole bytes, outside
+memory where needed, and equals stand next to each other: a run of equal texts is found by
 comparing each text with the one before it, in full. As doc_id is part of the range key, a group of copies of any size is
 dealt over as many partitions as it fills. Runs that touch a partition's edge may go on in the next one; one row for each
 such run carries its text, and those few rows (two a partition at most) are merged by comparing the texts again.
@@ -23,13 +24,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
+HEAD = 16
 _RUNS = "doc_id long, sha string, part int, run long, edge boolean, n long, lo long, hi long, last boolean, norm binary"
 
 
 def _normalise(batches):
     for batch in common.slices(batches, limit=1 << 23):
         norm = pc.ascii_lower(batch.column("text").fill_null("")).cast(pa.binary())
-        yield common.batch_of(doc_id=batch.column("doc_id"), norm=norm)
+        values = norm.to_pylist()
+        yield common.batch_of(doc_id=batch.column("doc_id"), norm=norm, head=pa.array([v[:HEAD] for v in values], pa.binary()), sha=pa.array([hashlib.sha256(v).digest() for v in values], pa.binary()))
 
 
 class _Ended:
@@ -93,9 +96,9 @@ def groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
         raise ValueError(f"keep: smallest or largest, not {keep!r}")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    norm = common.texts_of(docs).mapInArrow(_normalise, "doc_id long, norm binary")
-    dealt = norm.repartitionByRange(parts, "norm", "doc_id").sortWithinPartitions("norm", "doc_id" if keep == "largest" else F.desc("doc_id"))
-    runs = common.saved(dealt.mapInArrow(_runs, _RUNS), "exact-runs")
+    norm = common.texts_of(docs).mapInArrow(_normalise, "doc_id long, norm binary, head binary, sha binary")
+    dealt = norm.repartitionByRange(parts, "head", "sha", "doc_id").sortWithinPartitions("head", "sha", "norm", "doc_id" if keep == "largest" else F.desc("doc_id"))
+    runs = common.saved(dealt.select("doc_id", "norm").mapInArrow(_runs, _RUNS), "exact-runs")
     edges = runs.where("edge and norm is not null").select("part", "run", "norm", "n", "lo", "hi")
     merged = edges.groupBy("norm").agg(F.sum("n").alias("all_n"), F.min("lo").alias("all_lo"), F.max("hi").alias("all_hi"))
     of_run = edges.join(merged, "norm").select("part", "run", "all_n", "all_lo", "all_hi")
