@@ -5,7 +5,8 @@ Base kinds are reported wherever their pattern matches: ``assign`` (a named valu
 the decoded bytes have the structure of a secret:
 
 ``der``  base64 or hex that decodes to an ASN.1 SEQUENCE whose nested lengths fill it exactly and which starts like a
-         private key (version INTEGER 0-3, then a key's fields); armour lines and line breaks may stand around or in it
+         private key (version INTEGER 0-3, then a key's fields); armour lines and line breaks may stand around or in it. In base64
+         the outer length says at which line's end the key ends, whatever follows
 ``jwt``  three base64url parts of which the first decodes to a JSON object with an ``alg`` and the second to JSON
 ``ssh``  base64 that decodes to the openssh-key-v1 header, followed by length-prefixed fields inside the data
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -35,7 +37,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ANY_NAME = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])((?:ey|ew)[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{14,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+_B64_START = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{14}")
+_B64_LINE, _LINE_END, _PADDING = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"\r?\n"), re.compile(r"={0,2}")
 _HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{30,}(?![0-9A-Fa-f])")
 
 
@@ -93,18 +96,32 @@ def is_private_key(data: bytes) -> bool:
 
 def is_ssh_key(data: bytes) -> bool:
     """The header, then four fields whose lengths stay inside the data."""
+    return ssh_size(data) is not None
+
+
+def ssh_size(data: bytes) -> int | None:
+    """The size of the key that starts the data, that of the data if the key is cut off behind its first four fields, or None."""
     head = b"openssh-key-v1\x00"
     if not data.startswith(head):
-        return False
-    at = len(head)
-    for field in range(4):
-        if at + 4 > len(data):
-            return False
+        return None
+    at, cipher = len(head), b""
+    for field in range(3):
         size = int.from_bytes(data[at : at + 4], "big")
-        if field == 3:
-            return 1 <= size <= 16
+        if field == 0:
+            cipher = data[at + 4 : at + 4 + size]
         at += 4 + size
-    return False
+        if at + 4 > len(data):
+            return None
+    keys = int.from_bytes(data[at : at + 4], "big")
+    if not 1 <= keys <= 16:
+        return None
+    at += 4
+    for _ in range(keys + 1):  # the public keys, then the private ones
+        if at + 4 > len(data):
+            return len(data)
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    at += 16 * (cipher in (b"aes128-gcm@openssh.com", b"aes256-gcm@openssh.com", b"chacha20-poly1305@openssh.com"))  # a tag follows
+    return min(at, len(data))
 
 
 def is_signed_token(head: str, body: str) -> bool:
@@ -115,12 +132,74 @@ def is_signed_token(head: str, body: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
 
 
-def _bodies(found: re.Match) -> Iterator[tuple[int, int]]:
-    """The whole run of base64 lines, then fewer lines from its end: text may follow a key directly."""
-    end, tries = found.end(), 0
-    while end > found.start() and tries < 64:
-        yield found.start(), end
-        end, tries = found.string.rfind("\n", found.start(), end), tries + 1
+class _Run:
+    """Base64 lines that follow one another: where each begins and ends, and how many characters stand in front of it."""
+
+    def __init__(self, text: str, start: int):
+        self.text, self.begins, self.ends, self.before, chars = text, [], [], [], 0
+        while line := _B64_LINE.match(text, start):
+            self.begins.append(line.start())
+            self.ends.append(line.end())
+            self.before.append(chars)
+            chars += line.end() - line.start()
+            if not (onward := _LINE_END.match(text, line.end())):
+                break
+            start = onward.end()
+        self.chars, self.end = chars, self.ends[-1]
+
+    def place(self, at: int) -> int:
+        """How many characters stand in front of a place in the run."""
+        i = bisect.bisect_right(self.begins, at) - 1
+        return self.before[i] + at - self.begins[i]
+
+    def after(self, chars: int) -> int:
+        """Where so many characters of the run end."""
+        i = bisect.bisect_left(self.before, chars) - 1
+        return self.begins[i] + chars - self.before[i]
+
+
+def _chars(size: int) -> int:
+    """The base64 characters of so many bytes, without padding."""
+    return -(-size * 4 // 3)
+
+
+def _key_at(run: _Run, start: int) -> tuple[int, str] | None:
+    """Where the key that starts here ends, and its kind: its own lengths say how many lines of the run it takes."""
+    at, text = run.place(start), run.text
+    left = run.chars - at
+    head = _decoded(text[start : run.after(at + min(left, 32))]) or b""
+    if head[:1] == b"\x30" and len(head) > 1:
+        n = head[1] & 0x7F if head[1] & 0x80 else 0
+        size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+        if n > 4 or head[1] == 0x80 or head[2 + n : 3 + n] != b"\x02" or _chars(size) > left:
+            return None
+        end = run.after(at + _chars(size))
+        if rest := _B64_LINE.match(text, end):  # a key ends with its line; one character more holds no byte
+            if size % 3 or rest.end() - end > 1:
+                return None
+        kind = "der" if is_private_key((_decoded(text[start:end]) or b"")[:size]) else None
+    elif head.startswith(b"openssh-key-v1\x00"):
+        if (size := ssh_size(_decoded(text[start : run.end]) or b"")) is None:
+            return None
+        end, kind = run.after(at + min(left, _chars(size))), "ssh"
+    else:
+        return None
+    if rest := _B64_LINE.match(text, end):
+        end = rest.end()
+    return (_PADDING.match(text, end).end(), kind) if kind else None
+
+
+def key_spans(text: str) -> Iterator[tuple[int, int, str]]:
+    """Keys in base64. The search goes on at the end of a key, where the next may begin, or behind the start of what is none."""
+    run, found = None, _B64_START.search(text)
+    while found:
+        start = found.start()
+        if run is None or start >= run.end:
+            run = _Run(text, start)
+        key = _key_at(run, start)
+        if key:
+            yield start, *key
+        found = _B64_START.search(text, key[0] if key else start + 1)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -135,13 +214,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     for m in _JWT.finditer(text):
         if is_signed_token(m[1], m[2]):
             out.append((m.start(), m.end(), "jwt"))
-    for m in _B64.finditer(text):
-        for start, end in _bodies(m):
-            data = _decoded(text[start:end])
-            kind = data and ("der" if is_private_key(data) else "ssh" if is_ssh_key(data) else None)
-            if kind:
-                out.append((start, end, kind))
-                break
+    out += key_spans(text)
     for m in _HEX_DER.finditer(text):
         if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
             out.append((m.start(), m.end(), "der"))

@@ -105,6 +105,19 @@ def test_secret_kinds(text, kinds):
     assert [k for _, _, k in secrets.spans(text)] == kinds
 
 
+@pytest.mark.parametrize("key", [RSA, CURVE, SSH + (8).to_bytes(4, "big") + b"privates"])
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_secret_keys_in_front_of_many_lines(key, newline):
+    lines = newline.join(re.findall(".{1,64}", b64(key).rstrip("=")))
+    kind = "ssh" if key.startswith(b"openssh") else "der"
+    for n in (0, 1, 10, 63, 64, 100, 1000):
+        text = lines + newline + newline.join(["token"] * n) + " of prose"
+        assert [s for s in secrets.spans(text) if s[2] != "assign"] == [(0, len(lines), kind)]
+    twice = lines + newline + lines + newline + "MAAAAAAAAAAAAAAAAAAAA" + newline + lines + newline + "end of keys"
+    assert [s[2] for s in secrets.spans(twice)] == [kind] * 3
+    assert not secrets.spans(secrets.redacted(twice, secrets.spans(twice)))
+
+
 def test_secret_spans_and_mask():
     text = "é token=abcdef01234567890123456789 z"
     found = secrets.spans(text)
