@@ -8,12 +8,13 @@ doesn't grow with the data.
 ``SAMPLES`` consistent samples (r and c from Gamma(2, 1), beta uniform, all from the shingle's hash) are drawn in proportion to
 the weights, and ``ROWS`` of them make a band.
 
-Texts with the same words are one class from the start; its smallest doc_id stands for it. In each bucket of a band,
-the representatives are linked to the smallest and to the largest of them, in linear number; links whose texts have a
-weighted Jaccard similarity of at least 0.8 hold. Classes are the connected components, found by hooking and pointer
-jumping over tables. Where a bucket holds representatives that did not come together, the next round links the classes' own
-representatives in it, until a round adds no link. No bucket is capped and no group is gathered in a task: leaders are
-aggregates, and joins on a hot leader can be split.
+Texts with the same words are one class from the start; its smallest doc_id stands for it. Two representatives that share a
+bucket of a band are compared unless they came together before; those with a weighted Jaccard similarity of at least 0.8 are
+linked, and classes are the connected components, found by hooking and pointer jumping over tables. First each bucket's
+members are compared with the smallest and the largest of them, in linear number, which joins large groups of copies. Then
+all other members of different classes in it are compared, whichever way their first links went. That is quadratic in the
+unlike members of a bucket; pairs whose total weights alone rule the threshold out are skipped. Hot buckets are split into
+blocks of bounded size, and each pair of blocks is a task's small piece of work. No bucket is capped.
 
 Texts without a word (null, empty, blank) form one class of their own. Rows with equal doc_id count as one
 document, whose text is the smallest of theirs. Further columns are ignored by ``classes`` and kept by ``dedup``. An empty
@@ -22,6 +23,8 @@ table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +36,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
 DAMPING = 0.1
 BUCKETS, SEGMENTS = 1 << 20, 64
+BLOCK, UNIT = 128, 2048  # a block's members count one each, and one more for each so many words
 _GRID = 1 << 12
 _U = np.uint64
 
@@ -149,7 +153,7 @@ def bands(sampled: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, two hashes of the whole word sequence, and the band keys (none for texts without words)."""
+    """doc_id, two hashes of the whole word sequence, the text's size in units of a block, and the band keys (none for texts without words)."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
@@ -164,9 +168,10 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 b.append(int(common.folded(common.mix(own + _U(5)))) - (1 << 63))
                 one, counts = _set_of(found[begin[i] : begin[i + 1]])
                 keys.append(bands(samples(one, weights(one, counts, idf))).view(np.int64) if len(one) else None)
-            yield common.batch_of(doc_id=batch.column("doc_id"), h1=pa.array(a, pa.int64()), h2=pa.array(b, pa.int64()), keys=pa.array(keys, pa.list_(pa.int64())))
+            units = pa.array(1 + words.counts // UNIT, pa.int64())
+            yield common.batch_of(doc_id=batch.column("doc_id"), h1=pa.array(a, pa.int64()), h2=pa.array(b, pa.int64()), units=units, keys=pa.array(keys, pa.list_(pa.int64())))
 
-    return common.texts_of(docs).mapInArrow(run, "doc_id long, h1 long, h2 long, keys array<long>")
+    return common.texts_of(docs).mapInArrow(run, "doc_id long, h1 long, h2 long, units long, keys array<long>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -178,25 +183,24 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / max(float(a[1].sum() + b[1].sum()) - least, 1e-30)
 
 
+def weighted_sets(texts: pa.Array, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    found, begin = shingles(common.Words(texts, lower=True))
+    for i in range(len(texts)):
+        one, counts = _set_of(found[begin[i] : begin[i + 1]])
+        yield one, weights(one, counts, idf)
+
+
 def verified(links: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """The links (a, b) that hold. Texts meet the links by joins; a leader's set is made once for its run of rows."""
     shared = links.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
         idf, last, held = shared.value, None, None
-
-        def sets(column):
-            words = common.Words(column, lower=True)
-            found, begin = shingles(words)
-            for i in range(len(column)):
-                one, counts = _set_of(found[begin[i] : begin[i + 1]])
-                yield one, weights(one, counts, idf)
-
         for batch in common.slices(batches, "text_b", 1 << 20):
             keep, a = [], batch.column("a").to_pylist()
-            for i, other in enumerate(sets(batch.column("text_b"))):
+            for i, other in enumerate(weighted_sets(batch.column("text_b"), idf)):
                 if a[i] != last:
-                    last, held = a[i], next(sets(batch.column("text_a").slice(i, 1)))
+                    last, held = a[i], next(weighted_sets(batch.column("text_a").slice(i, 1), idf))
                 keep.append(similarity(held, other) >= threshold)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
@@ -205,6 +209,68 @@ def verified(links: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def compared(ids: list[int], classes_: list[int], sides: list[int], sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> Iterator[tuple[int, int]]:
+    """Links that hold between members of different classes: of one block (side 2) or across two (sides 0 and 1). Pairs that came together here are skipped."""
+    total = np.array([float(w.sum()) for _, w in sets])
+    side, root = np.array(sides), {c: c for c in classes_}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for i in range(len(ids)):
+        may = (side[i + 1 :] != side[i]) | (side[i] == 2)
+        may &= np.minimum(total[i + 1 :], total[i]) >= (threshold - 1e-6) * np.maximum(total[i + 1 :], total[i])
+        for j in (np.flatnonzero(may) + i + 1).tolist():
+            x, y = find(classes_[i]), find(classes_[j])
+            if x != y and similarity(sets[i], sets[j]) >= threshold:
+                root[y] = x
+                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+
+
+def inner_links(members: DataFrame, labels: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, block: int) -> DataFrame:
+    """The links (a, b) that hold among all members of a bucket but its smallest and largest, between classes."""
+    inner = members.where("doc_id <> lo and doc_id <> hi").select("band", "key", "doc_id", "units").distinct().join(labels, "doc_id")
+    parts = inner.groupBy("band", "key", "c").agg(F.sum("units").alias("m"))
+    several = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("m") <= block, F.col("m")).otherwise(0)).alias("small")).where("k > 1").drop("k")
+    # classes larger than a block have blocks of their own (g = 1); the others share some (g = 0)
+    own = F.col("m") > block
+    number = F.when(own, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / block))).otherwise(F.pmod(F.xxhash64("c"), F.greatest(F.lit(1), F.ceil(F.col("small") / block))))
+    placed = inner.join(parts.join(several, ["band", "key"]), ["band", "key", "c"])
+    placed = common.saved(placed.select("band", "key", "doc_id", "c", F.struct(own.cast("int").alias("g"), F.when(own, F.col("c")).otherwise(0).alias("of"), number.alias("i")).alias("blk")), "blocks")
+    blocks = placed.select("band", "key", "blk").distinct()
+    pairs = blocks.join(blocks.withColumnRenamed("blk", "blk2"), ["band", "key"]).where("blk <= blk2 and not (blk.g = 1 and blk2.g = 1 and blk.of = blk2.of)")
+    pairs = pairs.select("band", "key", "blk", "blk2", F.xxhash64("band", "key", "blk", "blk2").alias("piece"))
+    one = pairs.where("blk = blk2").select("band", "key", "blk", "piece", F.lit(2).alias("side"))
+    left = pairs.where("blk < blk2").select("band", "key", "blk", "piece", F.lit(0).alias("side"))
+    right = pairs.where("blk < blk2").select("band", "key", F.col("blk2").alias("blk"), "piece", F.lit(1).alias("side"))
+    dealt = placed.join(one.union(left).union(right), ["band", "key", "blk"]).select("piece", "side", "doc_id", "c")
+    needed = texts.join(placed.select("doc_id").distinct().hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    shared = members.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches):
+        idf, piece, held = shared.value, None, ([], [], [], [])
+
+        def links():
+            found = list(compared(*held, threshold)) if len(set(held[1])) > 1 else []
+            return common.batch_of(a=pa.array([a for a, _ in found], pa.int64()), b=pa.array([b for _, b in found], pa.int64()))
+
+        for batch in common.slices(batches, "text", 1 << 20):
+            columns = [batch.column(c).to_pylist() for c in ("piece", "doc_id", "c", "side")]
+            for p, *row, one in zip(*columns, weighted_sets(batch.column("text"), idf), strict=True):
+                if p != piece:
+                    yield links()
+                    piece, held = p, ([], [], [], [])
+                for column, value in zip(held, (*row, one), strict=True):
+                    column.append(value)
+        yield links()
+
+    # pieces are many and small: dealt by their hash, sorted, and streamed one after another
+    rows = dealt.join(common.saved(needed, "texts"), "doc_id").select("piece", "doc_id", "c", "side", "text")
+    return rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "a long, b long").distinct()
+
+
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (doc_id, c) after the links (a, b): hooking of roots onto the smallest root they are linked to, then pointer jumping, until nothing moves."""
     while True:
@@ -222,34 +288,23 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = common.saved(labels.join(hooks.withColumnRenamed("root", "c"), "c", "left").select("doc_id", F.coalesce("to", "c").alias("c")), "labels")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), class_size and kept (it is that document)."""
     idf = inverse_frequencies(docs)
     rows = common.saved(signatures(docs, idf), "signatures")
     whole = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = whole.select(F.col("rep").alias("doc_id")).distinct()
     texts = common.texts_of(docs)
-    signed = rows.where("keys is not null").join(reps, "doc_id", "left_semi").select("doc_id", F.posexplode("keys").alias("band", "key"))
+    signed = rows.where("keys is not null").join(reps, "doc_id", "left_semi").select("doc_id", "units", F.posexplode("keys").alias("band", "key"))
     buckets = signed.groupBy("band", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     leaders = common.saved(buckets, "leaders")
-    members = common.saved(signed.join(leaders, ["band", "key"]).select("doc_id", "band", "key", "lo", "hi"), "members")
+    members = common.saved(signed.join(leaders, ["band", "key"]).select("doc_id", "units", "band", "key", "lo", "hi"), "members")
     labels = common.saved(members.select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("c")), "labels")
     pairs = members.select(F.least("doc_id", "lo").alias("a"), F.greatest("doc_id", "lo").alias("b")).union(members.select(F.least("doc_id", "hi").alias("a"), F.greatest("doc_id", "hi").alias("b")))
-    tried = links = common.saved(pairs.where("a < b").distinct(), "links")
-    while True:
-        needed = texts.join(links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct().hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-        good = common.saved(verified(links, common.saved(needed, "texts"), idf, threshold), "held")
-        if good.isEmpty():
-            break
-        labels = components(labels, good)
-        # buckets that still hold several classes: link the smallest member of each to the smallest of all
-        of_class = members.join(labels, "doc_id").groupBy("band", "key", "c").agg(F.min("doc_id").alias("d"))
-        several = of_class.groupBy("band", "key").agg(F.min_by(F.struct("c", "d"), "d").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", F.col("first.d").alias("first"))
-        fresh = of_class.join(several, ["band", "key"]).select(F.least("d", "first").alias("a"), F.greatest("d", "first").alias("b")).where("a < b").distinct()
-        links = common.saved(fresh.join(tried, ["a", "b"], "left_anti"), "links")
-        if links.isEmpty():
-            break
-        tried = tried.unionByName(links)
+    links = common.saved(pairs.where("a < b").distinct(), "links")
+    needed = texts.join(links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct().hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    labels = components(labels, common.saved(verified(links, common.saved(needed, "texts"), idf, threshold), "held"))
+    labels = components(labels, common.saved(inner_links(members, labels, texts, idf, threshold, block), "held"))
     of_rep = whole.join(labels, whole["rep"] == labels["doc_id"], "left").select("h1", "h2", F.coalesce("c", "rep").alias("class_id"))
     placed = common.saved(rows.select("doc_id", "h1", "h2").groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2").join(of_rep, ["h1", "h2"]).select("doc_id", "class_id"), "placed")
     sizes = common.saved(placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "sizes")

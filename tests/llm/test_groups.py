@@ -114,6 +114,20 @@ def test_large_near_group_stays_together(docs_of):
     assert {rows[i] for i in range(150)} == {0} and all(rows[i] == i for i in range(150, 250))
 
 
+@pytest.mark.parametrize("options", [{}, {"block": 2}])
+def test_near_copies_between_unlike_members_of_a_bucket(spark, docs_of, monkeypatch, options):
+    """One bucket of lo, B, C, hi and more unlike ones: only B~C holds, and D~C, but not D~B."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    edited = lambda at, n: " ".join(base[:at] + [f"new{rng.randrange(10**9)}" for _ in range(n)] + base[at + n :])
+    texts = {i: edited(20 + 10 * i, 60) for i in range(4)} | {10: edited(10, 15), 11: " ".join(base), 12: edited(170, 15)} | {20 + i: edited(25 + 10 * i, 60) for i in range(4)}
+    assert jaccard(texts[10], texts[11]) > 0.82 and jaccard(texts[11], texts[12]) > 0.82 and jaccard(texts[10], texts[12]) < 0.78
+    rows = [(i, i, i, 1, [7]) for i in texts]
+    monkeypatch.setattr(neardup, "signatures", lambda *_: spark.createDataFrame(rows, "doc_id long, h1 long, h2 long, units long, keys array<long>"))
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs_of(texts.values(), texts), **options).collect()}
+    assert found == {i: 10 if i in (10, 11, 12) else i for i in texts}
+
+
 def test_near_repeated_ids(docs_of):
     rows = neardup.classes(docs_of(["a b c d e f", "x y z x y z", "a b c d e f"], [1, 1, 2])).collect()
     assert sorted(r["doc_id"] for r in rows) == [1, 2]
