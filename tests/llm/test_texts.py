@@ -284,3 +284,36 @@ def test_shards(spark, docs_of, odd):
     assert max(small) <= 1.3 * sum(small) / len(small)
     assert shards.shard(docs_of([])).count() == 0
     check_shards(shards.shard(docs_of(["a"])).collect(), ["a"])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_heavy_texts_leave_the_other_shards_even(seed):
+    """Rows placed one by one, then light weight poured into the rest: no shard without a text that outweighs it is uneven."""
+    rng = np.random.default_rng(seed)
+    heavy = [(int(s), i, i, i, 1) for i, s in enumerate(rng.integers(3_000, 9_000 * 10 ** rng.integers(1, 2, endpoint=True), rng.integers(0, 60)))]
+    light = 40_000 * 40
+    total = light + sum(r[0] for r in heavy)
+    of, leaves = shards.place(heavy, total, 40)
+    assert set(of) == {r[:4] for r in heavy}
+    loads = np.zeros(40)
+    for r in heavy:
+        loads[of[r[:4]]] += r[0]
+    full = loads.copy()
+    for s, t in leaves:
+        full[s] += light * t / sum(t for _, t in leaves)
+    assert np.isclose(full.sum(), total)
+    even = [f for f, h in zip(full, loads, strict=True) if h <= total / 40]
+    assert max(even) - min(even) <= 0.05 * total / 40
+
+
+def test_shards_with_heavy_and_repeated_texts(spark, docs_of):
+    heavy = ["y" * n for n in (90_000, 30_000, 30_000, 5_000, 5_000, 4_000)]
+    texts = [f"text {i} " * (1 + i % 7) for i in range(2500)] + heavy
+    rows = shards.shard(docs_of(texts)).collect()
+    sizes = check_shards(rows, texts)
+    of = {r["doc_id"]: r["shard"] for r in rows}
+    outweighed = {of[i] for i, t in enumerate(texts) if len(t) > sum(sizes.values()) / 40}
+    rest = [x for s, x in sizes.items() if s not in outweighed]
+    assert max(rest) <= 1.05 * sum(rest) / len(rest) and min(rest) >= 0.9 * sum(rest) / len(rest)
+    assert of[2500 + 3] == of[2500 + 4]  # equal texts
+    check_shards(shards.shard(docs_of(["z" * 100_000] * 3)).collect(), ["z" * 100_000] * 3)
