@@ -1,10 +1,14 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Long texts are cut before they are encoded, at places where no match of the split pattern can cross: in front of a
-space that follows a letter, digit or mark of ASCII. Such a cut leaves every match as it was, so the ids of the parts,
-joined, are those of the whole text. A text without such a place is encoded whole.
+Long texts are cut before they are encoded, at places that no match of the split pattern can cross: in front of white space
+that follows anything else, and in front of a punctuation mark that follows a letter of a large script. Such a cut leaves every
+match as it was, so the ids of the parts, joined, are those of the whole text. A match itself isn't cut, so a text
+without such a place goes to the library whole. A run of white space of ``RUN`` characters or more, on which the library's split fails,
+is told apart here instead: the pattern takes all of it at the text's end and all but its last character elsewhere, as one match, whose
+bytes the library then merges.
 
 Null and empty texts have no ids. Rows with equal doc_id are encoded each for itself; further columns are ignored.
+Very long texts are encoded whole, however they are made up. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,8 +25,17 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-PART_CHARS = 1 << 15
-_CUT = re.compile(r"(?<=[!-~]) ")
+PART_CHARS, RUN = 1 << 15, 1 << 12
+# The characters with Unicode's property White_Space.
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# Letters by every version of Unicode, and marks that are neither letters, numbers nor white space.
+_LETTER, _MARK = "A-Za-z\\u0391-\\u03a1\\u03a3-\\u03ce\\u0410-\\u044f\\u05d0-\\u05ea\\u0627-\\u063a\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3", "!-/:-@\\[-`{-~\\u3001\\u3002\\uff01\\uff0c\\uff1a\\uff1b\\uff1f"
+_CUT = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])|(?<=[{_LETTER}])(?=[{_MARK}])")
+
+
+@functools.lru_cache(maxsize=4)
+def _long_run(size: int) -> re.Pattern:
+    return re.compile(f"[{_WHITE}]{{{size},}}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -49,13 +62,26 @@ def parts(text: str, limit: int = PART_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
+def matches(text: str, limit: int = PART_CHARS, run: int = RUN) -> Iterator[tuple[str, bool]]:
+    """The text in order as parts of any number of matches (False) and long runs of white space that are one match (True)."""
+    at = 0
+    for white in _long_run(run).finditer(text):
+        end = white.end() if white.end() == len(text) else white.end() - 1  # the last one may belong to what follows
+        if white.start() > at:
+            yield from ((p, False) for p in parts(text[at : white.start()], limit))
+        yield text[white.start() : end], True
+        at = end
+    if at < len(text):
+        yield from ((p, False) for p in parts(text[at:], limit))
+
+
 def encode(text: str | None, ranks: str = RANKS) -> list[int]:
     coder, _ = encoder(ranks)
     if not text:
         return []
-    if len(text) <= PART_CHARS:
+    if len(text) < RUN:
         return coder.encode_ordinary(text)
-    return [i for part in parts(text) for i in coder.encode_ordinary(part)]
+    return [i for part, whole in matches(text) for i in (coder._encode_single_piece(part) if whole else coder.encode_ordinary(part))]
 
 
 def decode(ids: list[int], ranks: str = RANKS) -> bytes:

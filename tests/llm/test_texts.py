@@ -45,7 +45,7 @@ def test_windows():
 
 def test_bpe_round_trip_and_library(spark, docs_of, odd, sample):
     coder, _ = bpe.encoder()
-    texts = odd + [t for _, t in sample[:40]]
+    texts = odd + [t for _, t in sample[:40]] + ["a" + " " * 300_000 + "b"]
     rows = {r["doc_id"]: r for r in bpe.digests(docs_of(texts)).collect()}
     assert len(rows) == len(texts)
     for i, t in enumerate(texts):
@@ -57,12 +57,44 @@ def test_bpe_round_trip_and_library(spark, docs_of, odd, sample):
     assert bpe.digests(docs_of([])).count() == 0
 
 
-@given(st.text(alphabet="ab'1 .\n\t é  s", max_size=200))
-@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab'1 .\n\t é  s\x1c\x85\u3000世я。", max_size=200))
+@settings(max_examples=300, deadline=None)
 def test_bpe_cuts_change_nothing(text):
     coder, _ = bpe.encoder()
-    assert [i for p in bpe.parts(text, 7) for i in coder.encode_ordinary(p)] == coder.encode_ordinary(text)
+    want = coder.encode_ordinary(text)
+    assert [i for p in bpe.parts(text, 7) for i in coder.encode_ordinary(p)] == want
     assert "".join(bpe.parts(text, 7)) == text
+    found = list(bpe.matches(text, 7, 2))
+    assert "".join(p for p, _ in found) == text
+    assert [i for p, whole in found for i in (coder._encode_single_piece(p) if whole else coder.encode_ordinary(p))] == want
+
+
+def slow_split(text):
+    """The pattern's matches by another engine of regular expressions."""
+    import public_tokenizers
+    import regex
+
+    white = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+    pattern = public_tokenizers.PATTERN.replace("[^\\s", "[^" + white[1:-1]).replace("\\s+(?!\\S)", f"{white}+(?={white}|$(?!\\n))").replace("\\s+", f"{white}+")
+    return regex.findall(pattern, text, regex.V0)
+
+
+@pytest.mark.parametrize("text", [" " * 5_000_000, "a" + "\n" * 5_000_000, "x" + " \n" * 500_000 + "é y", "\u3000" * 300_000 + "世", "a" * 5_000_000, "世界" * 300_000, "я" * 1_000_000, "世界。" * 100_000, "слово слово, " * 50_000, "!" * 1_000_000, "1" * 1_000_000, "end" + " " * 5000 + "\t", " " * 5000 + "'s", "a" + " " * 4096 + "b" + " " * 4095 + "c"], ids=lambda t: f"{len(t)}-{ord(t[0]):x}")
+def test_bpe_of_very_long_runs(text):
+    coder, _ = bpe.encoder()
+    want, known = [], {}
+    for m in slow_split(text):
+        if m not in known:
+            known[m] = coder._encode_single_piece(m)
+        want += known[m]
+    found = bpe.encode(text)
+    assert found == want
+    assert bpe.decode(found) == text.encode()
+
+
+def test_bpe_cuts_long_texts_of_other_scripts():
+    for text in ("слово слово, " * 100_000, "世界。" * 300_000, "한국어 " * 200_000):
+        assert max(map(len, bpe.parts(text))) < 2 * bpe.PART_CHARS
 
 
 # op 1
