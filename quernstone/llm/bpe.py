@@ -98,7 +98,7 @@ def encode_table(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
             ids = [encode(t, ranks) for t in batch.column("text").to_pylist()]
             yield common.batch_of(doc_id=batch.column("doc_id"), ids=pa.array(ids, pa.list_(pa.int32())))
 
-    return common.texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return common.ids_back(common.texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>"))
 
 
 def decode_table(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -130,7 +130,7 @@ def digests(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
                 back_sha.append(hashlib.sha256(decode(ids, ranks)).hexdigest())
             yield common.batch_of(doc_id=batch.column("doc_id"), n_tokens=pa.array(counts, pa.int64()), ids_sha256=pa.array(ids_sha, pa.string()), decoded_sha256=pa.array(back_sha, pa.string()))
 
-    return common.texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.ids_back(common.texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """What the corpus operators share: batches of texts as flat arrays, hashes of words and of word windows, and tables cut from their lineage.
 
-Texts come in as Arrow batches. A null text counts as an empty one everywhere. Words are maximal runs of bytes
+Texts come in as Arrow batches. A null text counts as an empty one everywhere, and a null doc_id as the smallest long, which
+stands for it until ``ids_back`` turns it into null again. Words are maximal runs of bytes
 other than 0x20 and 0x09-0x0D, which in UTF-8 are the same words as in code points. A word is known by a 64-bit
 hash (a polynomial over a table of random values, then mixed); two different words of one corpus share a hash with
 a probability of about n^2 / 2^65.
@@ -173,9 +174,48 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+NULL_ID = -(1 << 63)
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (string or null), with the further columns named; all others are pruned at the scan."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return docs.select(id_of(docs).alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+def id_of(docs: DataFrame):
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))
+
+
+def ids_back(df: DataFrame, *names: str) -> DataFrame:
+    """df with null for the number that stands for it."""
+    return df.withColumns({n: F.nullif(F.col(n), F.lit(NULL_ID)) for n in names or ("doc_id",)})
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that df doesn't have, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def one_of_each(docs: DataFrame, keys: list, stay: DataFrame) -> DataFrame:
+    """One row of docs, with all its columns, for each row of ``stay``: values of the keys, and ``twins``, how many rows of docs have them.
+
+    Only rows with twins, if there are any, are aggregated; all others meet ``stay`` in a semi-join.
+    """
+    names = fresh(docs, *(f"key{i}" for i in range(len(keys))), "row")
+    keyed, told = docs.withColumns(dict(zip(names, keys, strict=False))), stay.toDF(*names[:-1], "twins")
+    out = keyed.join(told.where("twins = 1"), names[:-1], "left_semi").select(*[keyed[f"`{c}`"] for c in docs.columns])
+    many = told.where("twins > 1")
+    if many.isEmpty():
+        return out
+    rows = keyed.join(many, names[:-1], "left_semi").select(*names[:-1], F.struct(*[keyed[f"`{c}`"] for c in docs.columns]).alias(names[-1]))
+    one = rows.groupBy(*names[:-1]).agg(F.min_by(names[-1], F.struct(F.coalesce(F.col(f"{names[-1]}.text"), F.lit("")), F.hash(F.to_json(names[-1])))).alias(names[-1]))
+    return out.unionByName(one.select(f"{names[-1]}.*"))
 
 
 def batch_of(**columns) -> pa.RecordBatch:

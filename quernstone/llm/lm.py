@@ -243,7 +243,7 @@ def score(docs: DataFrame) -> DataFrame:
     # a text's rare words come from all partitions: sums taken before this shuffle would spare little
     tails = met.repartition("row").groupBy("row").agg(F.sum("known").alias("known"), F.sum("tail").alias("tail"))
     tail = F.coalesce("tail", F.lit(0.0))
-    return rows.drop("words", "times").join(tails, "row", "left").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + tail).alias("base_score"), (F.col("lm") + tail).alias("score"))
+    return rows.drop("words", "times").join(tails, "row", "left").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + tail).alias("base_score"), (F.col("lm") + tail).alias("score")).transform(common.ids_back)
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,9 @@ all other members of different classes in it are compared, whichever way their f
 unlike members of a bucket; pairs whose total weights alone rule the threshold out are skipped. Hot buckets are split into
 blocks of bounded size, and each pair of blocks is a task's small piece of work. No bucket is capped.
 
-Texts without a word (null, empty, blank) form one class of their own. Rows with equal doc_id count as one
-document, whose text is the smallest of theirs. Further columns are ignored by ``classes`` and kept by ``dedup``. An empty
-table gives an empty table.
+Texts without a word (null, empty, blank) form one class of their own. A null doc_id counts as the smallest. Rows with equal doc_id count as one
+document, whose text is the smallest of theirs, and ``dedup`` returns one row of them. Texts of any length are compared whole. Further columns, whatever
+their names, are ignored by ``classes`` and kept by ``dedup``. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -290,6 +290,13 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), class_size and kept (it is that document)."""
+    return common.ids_back(_classes(docs, threshold, block), "doc_id", "class_id")
+
+
+def _classes(docs: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    texts = common.texts_of(docs)
+    if not texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        docs = common.saved(texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "documents")
     idf = inverse_frequencies(docs)
     rows = common.saved(signatures(docs, idf), "signatures")
     whole = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
@@ -306,15 +313,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     labels = components(labels, common.saved(verified(links, common.saved(needed, "texts"), idf, threshold), "held"))
     labels = components(labels, common.saved(inner_links(members, labels, texts, idf, threshold, block), "held"))
     of_rep = whole.join(labels, whole["rep"] == labels["doc_id"], "left").select("h1", "h2", F.coalesce("c", "rep").alias("class_id"))
-    placed = common.saved(rows.select("doc_id", "h1", "h2").groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2").join(of_rep, ["h1", "h2"]).select("doc_id", "class_id"), "placed")
+    placed = common.saved(rows.select("doc_id", "h1", "h2").join(of_rep, ["h1", "h2"]).select("doc_id", "class_id"), "placed")
     sizes = common.saved(placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "sizes")
     return placed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that stay, one of each class, with all their columns."""
-    stay = classes(docs, threshold).where("kept").select(F.col("doc_id").alias("__stay"))
-    return docs.join(stay, F.col("doc_id") == F.col("__stay"), "left_semi")
+    """The documents that stay, one row of each class, with all their columns; of rows that repeat a doc_id the one with the smallest text."""
+    found = _classes(docs, threshold)
+    twins = common.texts_of(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("twins"))
+    stay = common.saved(found.where("kept").select("doc_id").join(twins, "doc_id").select("doc_id", "twins"), "kept")
+    return common.one_of_each(docs, [common.id_of(docs)], stay)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

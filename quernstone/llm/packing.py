@@ -243,7 +243,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     grouped = rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))).groupBy("g").applyInPandas(packed, schema)
     whole = found.where(F.col("length") == capacity).select(*columns, (F.lit(groups << 24) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return grouped.unionByName(whole)
+    return common.ids_back(grouped.unionByName(whole))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,7 +257,7 @@ def scan(docs: DataFrame) -> DataFrame:
             columns = {f"n_{k}": pa.array([c[i] for c in counts], pa.int64()) for i, k in enumerate(KINDS[:3])}
             yield common.batch_of(doc_id=batch.column("doc_id"), **columns, base_sha256=pa.array(digests, pa.string()), spans=pa.array(texts, pa.string()))
 
-    return common.texts_of(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return common.ids_back(common.texts_of(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"))
 
 
 def redact(docs: DataFrame) -> DataFrame:

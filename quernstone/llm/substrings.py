@@ -295,7 +295,7 @@ def kept_words(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFra
     texts = common.texts_of(docs, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("k"))
     found = common.saved(repeated(docs, window, hot), "repeated")
     joined = texts.join(found, ["doc_id", "k"], "left").select("doc_id", "text", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
-    return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept binary")
+    return common.ids_back(joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept binary"))
 
 
 def _digest(batches):

@@ -237,7 +237,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in common.slices(batches):
             yield common.batch_of(doc_id=batch.column("doc_id"), score=pa.array([matcher.score(t) for t in batch.column("text").to_pylist()], pa.float64()))
 
-    return common.texts_of(docs).mapInArrow(run, "doc_id long, score double")
+    return common.ids_back(common.texts_of(docs).mapInArrow(run, "doc_id long, score double"))
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -254,4 +254,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     scored = score(docs, train(docs, common.read(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", held_out(F.coalesce("doc_id", F.lit(common.NULL_ID))).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

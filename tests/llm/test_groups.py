@@ -47,6 +47,45 @@ def test_exact_repeated_ids(docs_of):
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows) == [(5, 5, 1, True), (5, 5, 2, False), (5, 5, 2, True), (6, 6, 1, True)]
 
 
+def test_separators():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = sorted((bytes(rng.choices(b"ab", k=rng.randrange(0, 200))) if rng.random() < 0.5 else b"a" * rng.randrange(0, 200)) for _ in range(2))
+        if a < b:
+            s = exact.separator(a, b)
+            assert a < s <= b and b.startswith(s) and s[:-1] <= a
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_exact_groups_over_many_partitions(docs_of, keep):
+    """Common starts longer than any fixed prefix, and a group that fills several partitions."""
+    start = "the same start of every text " * 40
+    texts = [start + str(i % 50) for i in range(120)] + [start] * 60 + ["b", "B"] * 5 + [start + "\n" + "x" * 20000, start + "\n" + "x" * 20000 + "y"]
+    points = exact.splitters(common.texts_of(docs_of(texts)), 4, 3)
+    assert len(points) > 2 and max(len(t) for t, _ in points) <= 20002 + len(start)
+    rows = {r["doc_id"]: r for r in exact.groups(docs_of(texts), keep, 3).collect()}
+    of = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        of[t.lower()].append(i)
+    for ids in of.values():
+        assert all((rows[i]["keep_id"], rows[i]["group_size"]) == ((min if keep == "smallest" else max)(ids), len(ids)) for i in ids)
+    assert sum(r["kept"] for r in rows.values()) == len(of)
+
+
+@pytest.mark.parametrize("op", [exact, neardup], ids=["exact", "near"])
+def test_one_row_of_each_group_stays(spark, op):
+    """Repeated rows and ids, null ids, and columns named like the operators' own."""
+    rows = [(5, "a"), (5, "a"), (5, "b"), (1, "b"), (None, "c"), (None, "c"), (7, None), (8, "")]
+    names = "doc_id long, text string, __stay long, k long, twins string, key0 int, row int, `dotted.name` string"
+    docs = spark.createDataFrame([(*r, 1, 2, "x", 3, 4, "y") for r in rows], names)
+    out = op.dedup(docs)
+    assert out.columns == docs.columns
+    kept = sorted((tuple(r[:2]) for r in out.collect()), key=str)
+    # near: a document is all rows of an id, its text the smallest of theirs; 1 has "b" alone, 5 has "a"
+    assert kept == sorted([(5, "a"), (1, "b"), (None, "c"), (7, None)], key=str)
+    assert op.dedup(docs.where("false")).count() == 0
+
+
 def test_exact_oracle(spark):
     sf = "/root/testdata/sf0.001"
     c = duckdb.connect()
