@@ -6,10 +6,13 @@ the decoded bytes have the structure of a secret:
 
 ``der``  base64 or hex that decodes to an ASN.1 SEQUENCE whose nested lengths fill it exactly and which starts like a
          private key (version INTEGER 0-3, then a key's fields); armour lines and line breaks may stand around or in it. In base64
-         the outer length says at which line's end the key ends, whatever follows
+         the outer length says at which line's end the key ends, whatever follows. Lines may be indented, and their breaks
+         written as the characters \\n, as in JSON
 ``jwt``  three base64url parts of which the first decodes to a JSON object with an ``alg`` and the second to JSON
 ``ssh``  base64 that decodes to the openssh-key-v1 header, followed by length-prefixed fields inside the data
 
+Base64 of armoured key text or of a signed token is decoded and searched in turn, one level down; its span has the kind of what it holds.
+
 Null and empty texts have no spans. Spans are in code points, the end exclusive. Rows are scanned one by one, so copies,
 ties and further columns change nothing; one text of any length is scanned whole.
 """
@@ -37,13 +40,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ANY_NAME = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])((?:ey|ew)[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-_B64_START = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{14}")
-_B64_LINE, _LINE_END, _PADDING = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"\r?\n"), re.compile(r"={0,2}")
+_B64_START = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n))(?:M[A-P]|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{14}")
+_B64_LINE, _LINE_END, _PADDING = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t]*"), re.compile(r"={0,2}")
+_B64_ARMOUR = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n))LS0tLS1CRUdJTi[A-Za-z0-9+/_-]{14}")
+_B64_TOKEN = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n))ZX(?:lK|lB|dv|dL|dp)[A-Za-z0-9+/_-]{20,}")
+_ARMOUR_END = re.compile(r"\s*-----END [A-Z0-9 ]+-----\s*")
+_NO_BASE64 = re.compile(r"\\[rn]|[\s=]+")
 _HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{30,}(?![0-9A-Fa-f])")
 
 
 def _decoded(text: str) -> bytes | None:
-    raw = re.sub(r"[\s=]+", "", text).translate({45: 43, 95: 47})
+    raw = _NO_BASE64.sub("", text).translate({45: 43, 95: 47})
     try:
         return base64.b64decode(raw[: len(raw) - (len(raw) % 4 == 1)] + "=" * (-len(raw) % 4))
     except (binascii.Error, ValueError):
@@ -202,6 +209,35 @@ def key_spans(text: str) -> Iterator[tuple[int, int, str]]:
         found = _B64_START.search(text, key[0] if key else start + 1)
 
 
+def _inner(start: int, run: _Run, stop: int, found: tuple[int, int, str] | None, data: str) -> tuple[int, int, str] | None:
+    """The span of base64 whose decoded text holds a secret: from its start to the line end behind the secret and its last armour line."""
+    if found is None:
+        return None
+    last = _ARMOUR_END.match(data, found[1])
+    end = min(stop, run.after(run.place(start) + min(run.chars - run.place(start), _chars(last.end() if last else found[1]))))
+    if rest := _B64_LINE.match(run.text, end):
+        end = rest.end()
+    return start, _PADDING.match(run.text, end).end(), found[2]
+
+
+def nested_spans(text: str) -> Iterator[tuple[int, int, str]]:
+    """Armoured keys and signed tokens in base64. What is decoded for one start ends where the next begins, so that all are read once."""
+    heads = [m.start() for m in _B64_ARMOUR.finditer(text)] if "LS0tLS1CRUdJTi" in text else []
+    run = None
+    for i, start in enumerate(heads):
+        if run is None or start >= run.end:
+            run = _Run(text, start)
+        stop = min(run.end, heads[i + 1]) if i + 1 < len(heads) else run.end
+        data = (_decoded(text[start:stop]) or b"").decode("latin-1")
+        if span := _inner(start, run, stop, next(key_spans(data), None), data):
+            yield span
+    for m in _B64_TOKEN.finditer(text):
+        data = (_decoded(m[0]) or b"").decode("latin-1")
+        token = _JWT.match(data)
+        if token and is_signed_token(token[1], token[2]):
+            yield m.start(), _PADDING.match(text, m.end()).end(), "jwt"
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 6] if _ANY_NAME.search(text) else []
     if "AKIA" in text:
@@ -215,6 +251,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         if is_signed_token(m[1], m[2]):
             out.append((m.start(), m.end(), "jwt"))
     out += key_spans(text)
+    out += nested_spans(text)
     for m in _HEX_DER.finditer(text):
         if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
             out.append((m.start(), m.end(), "der"))

@@ -150,6 +150,33 @@ def test_secret_keys_in_front_of_many_lines(key, newline):
     assert not secrets.spans(secrets.redacted(twice, secrets.spans(twice)))
 
 
+PEM = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", b64(RSA))) + "\n-----END RSA PRIVATE KEY-----\n"
+
+
+@pytest.mark.parametrize("key", [RSA, CURVE, SSH + (8).to_bytes(4, "big") + b"privates"])
+@pytest.mark.parametrize("newline", ["\\n", "\\r\\n", "\n    ", "\r\n\t"])
+@pytest.mark.parametrize("armour", [True, False])
+def test_secret_keys_escaped_and_indented(key, newline, armour):
+    kind, lines = ("ssh" if key.startswith(b"openssh") else "der"), newline.join(re.findall(".{1,64}", b64(key)))
+    text = f'{{"key": "{"-----BEGIN PRIVATE KEY-----" + newline if armour else ""}{lines}{newline}{"-----END PRIVATE KEY-----" if armour else "words"}"}}'
+    assert secrets.spans(text) == [(text.index(lines), text.index(lines) + len(lines), kind)]
+
+
+def test_secrets_one_level_down():
+    token = f"{url({'alg': 'HS256'})}.{url({'sub': 'someone'})}.c2lnbmF0dXJl"
+    for inner, kind in ((PEM, "der"), (PEM.replace("\n", "\r\n"), "der"), (token, "jwt")):
+        outer = b64(inner.encode())
+        wrapped = "\n".join(re.findall(".{1,76}", outer)) if kind == "der" else outer
+        for o in (outer, wrapped):
+            text = f"before {o} after, then\nmore prose"
+            assert secrets.spans(text) == [(7, 7 + len(o), kind)]
+            assert not secrets.spans(secrets.redacted(text, secrets.spans(text)))
+    two = b64(PEM.encode()).rstrip("=") + "\n" + b64(PEM.encode())
+    assert [k for _, _, k in secrets.spans(two)] == ["der", "der"]
+    assert secrets.spans("x " + b64(b"-----BEGIN CERTIFICATE-----\nMIIBsomething that is no key at all, only words\n" * 3)) == []
+    assert secrets.spans("LS0tLS1CRUdJTiAAAAAAAAAAAAAA\n" * 20_000) == []
+
+
 def test_secret_spans_and_mask():
     text = "é token=abcdef01234567890123456789 z"
     found = secrets.spans(text)
