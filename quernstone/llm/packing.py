@@ -1,13 +1,15 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
 Every document becomes its ids and the end id. Whole runs of ``capacity`` ids fill sequences of their own. What is left of
-a document is cut into pieces of at most ``PIECE`` ids, dealt at random (by hash) to groups of about ``WINDOWS`` sequences,
+a document is cut into pieces of at most ``PIECE`` ids, dealt at random (by a hash that each row salts) to groups of about ``WINDOWS`` sequences,
 and each group is divided into windows: partial partitions are merged largest spread first, the heavy windows of one with
 the light windows of the other, until one partition with near-equal windows is left. The window count starts at the least
 that could hold the group and rises whenever a window exceeds the capacity.
 
-A group's size is bounded whatever the input, so no source, copy or long document gathers in one task. Null texts are
-empty and consist of the end id. Rows with equal doc_id are packed each for itself. Further columns are ignored. An
+A group's size is bounded whatever the input, so no source, copy, repeated row or long document gathers in one task. The library
+works word by word, so ids of words met before are looked up: by a hash, and the characters are compared, so that no other word's
+ids are taken. Texts whose words can't be told apart here go to the library whole. Null texts are
+empty and consist of the end id. A text of any length is encoded whole. Rows with equal doc_id are packed each for itself. Further columns are ignored. An
 empty table gives no pieces.
 """
 
@@ -42,16 +44,18 @@ def _marked(pattern: str) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=1)
-def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: 0 for space, 1 letter, 2 number, 3 other, 4 not plain; a random value of the lower-case form; powers."""
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: 0 for space, 1 letter, 2 number, 3 other, 4 not plain; the lower-case form; a random value of that; powers."""
     kind = np.where(_marked(r"\s"), 0, np.where(_marked(f"[{_LETTERS}]"), 1, np.where(_marked(f"[{_NUMBERS}]"), 2, 3)))
     kind[~_marked(_PLAIN)] = 4
     values = np.random.default_rng(20240608).integers(1, 1 << 63, _LIMIT + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    lower = np.arange(_LIMIT + 1, dtype=np.uint16)
     for c in np.flatnonzero(kind == 1):
-        values[c] = values[ord(chr(c).lower())] if ord(chr(c).lower()) < _LIMIT else values[c]
+        lower[c] = low if (low := ord(chr(c).lower())) < _LIMIT else c
+    values = values[lower]
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(256, 0x9FB21C651E98DF25, np.uint64))
-    return kind.astype(np.uint8), values, powers
+    return kind.astype(np.uint8), lower, values, powers
 
 
 @functools.lru_cache(maxsize=1)
@@ -61,8 +65,14 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs one after another, each from its begin on."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Vocabulary:
-    """The tokenizer, and the ids of words met before in an open hash table; emptied when it holds too many."""
+    """The tokenizer, and words met before with their ids in an open hash table; emptied when it holds too many."""
 
     SLOTS = 1 << 21
 
@@ -75,6 +85,7 @@ class Vocabulary:
     def _empty(self) -> None:
         self.keys, self.at, self.size = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int64), np.zeros(self.SLOTS, np.int32)
         self.ids, self.used, self.known = np.zeros(1 << 20, np.uint32), 0, 0
+        self.letters, self.letter_at, self.length, self.written = np.zeros(1 << 20, np.uint16), np.zeros(self.SLOTS, np.int64), np.zeros(self.SLOTS, np.int32), 0
 
     def library(self, text: str) -> np.ndarray:
         return np.array(self.coder.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -98,16 +109,25 @@ class Vocabulary:
         while ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : ends[-1]] = [i for x in ids for i in x]
+        points = np.minimum(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), _LIMIT)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        stops = self.written + np.cumsum(lengths)
+        while stops[-1] > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        self.letters[self.written : stops[-1]] = _characters()[1][points]
         left = np.arange(len(keys))
         while len(left):
             slot, one = np.unique(self.slots(keys[left]), return_index=True)
             now = left[one]
-            self.keys[slot], self.at[slot], self.size[slot] = keys[now], (ends - sizes)[now], sizes[now]
+            self.keys[slot], self.at[slot], self.size[slot], self.letter_at[slot], self.length[slot] = keys[now], (ends - sizes)[now], sizes[now], (stops - lengths)[now], lengths[now]
             left = np.delete(left, one)
-        self.used, self.known = int(ends[-1]), self.known + len(keys)
+        self.used, self.written, self.known = int(ends[-1]), int(stops[-1]), self.known + len(keys)
+
+    def of_words(self, words, hashes: np.ndarray, lengths: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the words one after another, how many each has, and which words aren't those known by their hashes.
 
-    def of_words(self, words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words one after another, and how many each has; ``words(i)`` gives the i-th word."""
+        ``words(i)`` gives the i-th word, letters the lower-case characters of all.
+        """
         if self.known > CACHE:
             self._empty()
         slot = self.slots(hashes)
@@ -117,12 +137,16 @@ class Vocabulary:
             self.add([words(int(i)) for i in missing[where]], keys)
             slot = self.slots(hashes)
         sizes = self.size[slot].astype(np.int64)
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.at[slot] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+        other = self.length[slot] != lengths
+        if len(slot):
+            same = self.letters[np.minimum(_spread(self.letter_at[slot], lengths), len(self.letters) - 1)] == letters
+            if not same.all():
+                other |= ~np.logical_and.reduceat(same, np.cumsum(lengths) - lengths)
+        return self.ids[_spread(self.at[slot], sizes)], sizes, np.flatnonzero(other)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The library's ids of each whole text. The tokenizer works word by word, so known words are looked up."""
-        kind, values, powers = _characters()
+        kind, lower, values, powers = _characters()
         whole = "".join(texts)
         offs = np.cumsum([0, *map(len, texts)])
         points = np.minimum(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32), _LIMIT).astype(np.int64)
@@ -144,7 +168,8 @@ class Vocabulary:
             terms[far] *= common.mix((place[far] // len(powers)).astype(np.uint64) + np.uint64(77))
         hashes = (common.mix(np.add.reduceat(terms, at) + lengths.astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)) | np.uint64(1)
         first = np.searchsorted(starts, offs)
-        ids, sizes = self.of_words(lambda i: whole[starts[i] : ends[i]], hashes)
+        ids, sizes, other = self.of_words(lambda i: whole[starts[i] : ends[i]], hashes, lengths, lower[kept])
+        odd |= {int(i) for i in np.searchsorted(offs, starts[other], "right") - 1}
         done = np.concatenate([[0], np.cumsum(sizes)])
         return [self.library(t) if i in odd else ids[done[first[i]] : done[first[i + 1]]] for i, t in enumerate(texts)]
 
@@ -241,7 +266,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
 
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    grouped = rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))).groupBy("g").applyInPandas(packed, schema)
+    grouped = rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))).groupBy("g").applyInPandas(packed, schema)
     whole = found.where(F.col("length") == capacity).select(*columns, (F.lit(groups << 24) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return common.ids_back(grouped.unionByName(whole))
 

@@ -211,6 +211,26 @@ def test_library_ids(odd, sample):
     assert packing.Vocabulary().encode_all([]) == []
 
 
+def test_words_with_one_hash_are_told_apart(sample, monkeypatch):
+    """All words of up to 2 and of up to 9 characters share a hash: only the comparison of characters keeps them apart."""
+    coder, texts = packing.tokenizer().coder, [t for _, t in sample[:30]]
+    plain = packing.Vocabulary.slots
+    monkeypatch.setattr(packing.common, "mix", lambda h: np.where(h % np.uint64(3) == 0, np.uint64(1 << 50), h))
+    v = packing.Vocabulary()
+    for t, ids in zip(texts, v.encode_all(texts), strict=True):
+        assert ids.tolist() == coder.encode(t, add_special_tokens=False).ids
+    assert plain is packing.Vocabulary.slots and v.known < len({w.lower() for t in texts for w in t.split()})
+
+
+def test_repeated_rows_spread_over_groups(docs_of):
+    rows = packing.pack(docs_of(["the same row of words " * 60] * 4000, [7] * 4000)).collect()
+    loads = {}
+    for r in rows:
+        loads[r["sequence_id"] >> 24] = loads.get(r["sequence_id"] >> 24, 0) + r["length"]
+    assert sum(loads.values()) == 4000 * rows[0]["doc_tokens"]
+    assert len(loads) > 1 and max(loads.values()) < 2 * packing.WINDOWS * packing.CAPACITY
+
+
 def test_words_are_forgotten_and_learned_again(monkeypatch):
     monkeypatch.setattr(packing, "CACHE", 3)
     v = packing.Vocabulary()
