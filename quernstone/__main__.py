@@ -10,6 +10,7 @@ import signal
 import sys
 import threading
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 from . import config, http
@@ -38,7 +39,10 @@ def main(args: list[str] | None = None) -> int:
     logs()
     try:
         settings = config.load(path)
-        spark = SparkSession.builder.appName("quernstone").config("spark.scheduler.mode", "FAIR").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        builder = SparkSession.builder.appName("quernstone").config("spark.scheduler.mode", "FAIR").config("spark.sql.session.timeZone", "UTC")
+        if not SparkConf().contains("spark.master"):  # on one machine the threads are its cores; a cluster has its own
+            builder = builder.master(f"local[{settings.worker_threads}]")
+        spark = builder.getOrCreate()
         loader = Loader(spark, settings)
         engine = Engine(spark, settings, first(loader))
         watcher = Watcher(engine, loader, path)

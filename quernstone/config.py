@@ -19,6 +19,7 @@ class Source:
     delimiter: str = ","
     gzip: bool = False
     table: str = ""
+    multiline: bool = True
 
 
 @dataclass(frozen=True)
@@ -41,12 +42,12 @@ def byte_size(raw: int | str) -> int:
     m = re.fullmatch(r"\s*([0-9_]*)\s*([^0-9_]?.*?)\s*", str(raw), re.DOTALL)
     digits, unit = m[1].replace("_", ""), m[2].lower()
     if not digits:
-        raise ConfigError(f"byte size is missing a number: {raw!r}")
+        raise ConfigError(f"no digits in the byte size {raw!r}")
     if unit not in _UNITS:
-        raise ConfigError(f"unknown byte size suffix {unit!r} in {raw!r}")
+        raise ConfigError(f"{raw!r}: {unit!r} is no unit of bytes")
     size = int(digits) * 1024 ** _UNITS[unit]
     if size >= 1 << 64:
-        raise ConfigError(f"byte size overflow: {raw!r}")
+        raise ConfigError(f"{raw!r}: a byte size must be below 2^64")
     return size
 
 
@@ -68,11 +69,11 @@ def _table(found: dict, name: str, keys: dict[str, type | tuple], required: tupl
 def _source(found: dict) -> Source:
     kind = found.get("source", {}).get("type") if isinstance(found.get("source"), dict) else None
     if kind == "csv":
-        part = _table(found, "source", {"type": str, "path": str, "delimiter": str, "gzip": bool}, ("path",))
+        part = _table(found, "source", {"type": str, "path": str, "delimiter": str, "gzip": bool, "multiline": bool}, ("path",))
         delimiter = part.get("delimiter", ",")
         if len(delimiter) != 1 or not delimiter.isascii():
             raise ConfigError(f"source.delimiter must be one ASCII character, not {delimiter!r}")
-        return Source("csv", part["path"], delimiter, part.get("gzip", False))
+        return Source("csv", part["path"], delimiter, part.get("gzip", False), multiline=part.get("multiline", True))
     if kind == "sqlite":
         part = _table(found, "source", {"type": str, "path": str, "table": str}, ("path", "table"))
         return Source("sqlite", part["path"], table=part["table"])

@@ -37,6 +37,37 @@ def check_memory(limit: int) -> None:
         raise StorageError(f"memory limit exceeded: {used} bytes in use > limit {limit} bytes")
 
 
+@contextmanager
+def _memory_watched(spark: SparkSession, limit: int, interval: float = 0.5):
+    """Looks at the memory before a load, all the time that it takes and after it; a load beyond the limit is ended with a StorageError."""
+    check_memory(limit)
+    tag, over, ended = f"load-{uuid.uuid4().hex}", [], threading.Event()
+
+    def watch():
+        while not ended.wait(interval):
+            try:
+                check_memory(limit)
+            except StorageError as e:
+                over.append(e)
+                spark.interruptTag(tag)
+                return
+
+    thread = threading.Thread(target=watch, daemon=True)
+    spark.addTag(tag)
+    thread.start()
+    try:
+        yield
+    except (PySparkException, Py4JJavaError):
+        if over:
+            raise over[0] from None
+        raise
+    finally:
+        ended.set()
+        thread.join()
+        spark.removeTag(tag)
+    check_memory(limit)
+
+
 class Snapshot:
     """A cached table. It is let go when it has been replaced and its last query has ended."""
 
@@ -50,7 +81,8 @@ class Snapshot:
         self.df = df.where(F.lit(uuid.uuid4().hex).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
         self.users, self.retired, self.lock = 0, False, threading.Lock()
         try:
-            self.rows = self.df.count()
+            with _memory_watched(spark, settings.memory_limit):
+                self.rows = self.df.count()
         except Exception:
             self.df.unpersist()
             raise

@@ -55,9 +55,11 @@ def stamp(at: dt.datetime) -> Column:
     return F.expr(f"timestamp_ntz'{at:%Y-%m-%d %H:%M:%S}'") if at.year >= 1000 else F.expr(f"timestamp_ntz'{at.year:04d}-{at:%m-%d %H:%M:%S}'")
 
 
-def of_stamp(column: str | Column) -> Column:
-    """Whole seconds, floored, of a timestamp_ntz column."""
+def of_stamp(column: str | Column, zoned: bool = False) -> Column:
+    """Whole seconds, floored, of a timestamp_ntz column, or of a timestamp, which is an instant."""
     c = F.col(column) if isinstance(column, str) else column
+    if zoned:
+        return F.floor(F.unix_micros(c) / F.lit(1_000_000.0)).cast("long")
     return F.floor(F.timestamp_diff("MICROSECOND", stamp(_EPOCH), c) / F.lit(1_000_000.0)).cast("long")
 
 

@@ -13,16 +13,12 @@ from ..functions import times
 from .schema import DATE_TIME, FLOAT, INTEGER, STRING, TableSchema
 
 
-def _seconds(df: DataFrame, name: str) -> Column:
-    c = F.col(f"`{name}`")
-    return times.of_stamp(c) if isinstance(df.schema[name].dataType, (T.TimestampNTZType, T.TimestampType)) else c
-
-
 def _extreme(df: DataFrame, name: str, by) -> Column:
     """Seconds of the least or largest time: the floor of the extreme is the extreme of the floors."""
-    if isinstance(df.schema[name].dataType, (T.TimestampNTZType, T.TimestampType)):
-        return times.of_stamp(by(F.col(f"`{name}`")))
-    return by(F.col(f"`{name}`"))
+    kind, found = df.schema[name].dataType, by(F.col(f"`{name}`"))
+    if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+        return times.of_stamp(found, isinstance(kind, T.TimestampType))
+    return found
 
 
 def summary(df: DataFrame, schema: TableSchema) -> DataFrame:

@@ -46,17 +46,13 @@ class Query:
 
 def check(query: Query, schema: TableSchema) -> None:
     """Every column exists and is of a kind that its clause can filter."""
-    for clause, names in (("must", query.must), ("must_not", query.must_not)):
-        for name in names:
-            if (column := schema.get(name)) is None:
-                raise QueryError(f'{clause} filter references unknown column "{name}"')
-            if column.kind != STRING:
-                raise QueryError(f'{clause} filter on "{name}": column is {column.kind}, expected string')
-    for name in query.ranges:
-        if (column := schema.get(name)) is None:
-            raise QueryError(f'range filter references unknown column "{name}"')
-        if column.kind == STRING:
-            raise QueryError(f'range filter on "{name}": column is string, expected numeric or date-time')
+    asked = [("must", n, True) for n in query.must] + [("must_not", n, True) for n in query.must_not] + [("ranges", n, False) for n in query.ranges]
+    for clause, name, of_strings in asked:
+        column = schema.get(name)
+        if column is None:
+            raise QueryError(f"{clause}: there is no column {name!r}")
+        if (column.kind == STRING) != of_strings:
+            raise QueryError(f"{clause}: {name!r} holds {column.kind} values; this clause is for {'strings' if of_strings else 'numbers and times'}")
 
 
 def _whole(bound: tuple[float, bool] | None, lower: bool) -> float | None:
@@ -79,8 +75,9 @@ def _integer(c: Column, r: Range) -> Column:
     return _all(parts + ([c <= F.lit(int(high))] if high is not None else []))
 
 
-def _stamp(c: Column, r: Range) -> Column:
-    """On a timestamp of which only whole seconds count."""
+def _stamp(c: Column, r: Range, zoned: bool) -> Column:
+    """On a timestamp, with a zone or without, of which only whole seconds count."""
+    at = (lambda s: F.timestamp_seconds(F.lit(s))) if zoned else (lambda s: times.stamp(_EPOCH + dt.timedelta(seconds=s)))
     low, high, parts = _whole(r.low, True), _whole(r.high, False), []
     if any(b is not None and math.isnan(b) for b in (low, high)):
         return F.lit(False)
@@ -88,12 +85,12 @@ def _stamp(c: Column, r: Range) -> Column:
         if low > _LAST:
             return F.lit(False)
         if low > _FIRST:
-            parts.append(c >= times.stamp(_EPOCH + dt.timedelta(seconds=int(low))))
+            parts.append(c >= at(int(low)))
     if high is not None:
         if high < _FIRST:
             return F.lit(False)
         if high < _LAST:
-            parts.append(c < times.stamp(_EPOCH + dt.timedelta(seconds=int(high) + 1)))
+            parts.append(c < at(int(high) + 1))
     return _all(parts)
 
 
@@ -125,7 +122,7 @@ def _range(name: str, kind: str, physical: T.DataType, wanted: tuple[Range, ...]
     if kind == FLOAT:
         return c.isNotNull() & ~F.isnan(c) & _any([_plain(c, r) for r in wanted])
     if kind == DATE_TIME and isinstance(physical, (T.TimestampNTZType, T.TimestampType)):
-        return c.isNotNull() & _any([_stamp(c, r) for r in wanted])
+        return c.isNotNull() & _any([_stamp(c, r, isinstance(physical, T.TimestampType)) for r in wanted])
     return c.isNotNull() & _any([_integer(c, r) for r in wanted])
 
 

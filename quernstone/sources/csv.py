@@ -36,16 +36,19 @@ def _typed(cells: DataFrame, places: dict[str, int], schema: TableSchema) -> Dat
 
 
 def _unpacked(spark: SparkSession, path: str, gzip: bool, delimiter: str, schema: TableSchema) -> DataFrame:
-    """Files whose name doesn't tell whether they are compressed: bytes through Spark, one task a file (gzip can't be split anyway)."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """Files whose name doesn't tell whether they are compressed: read as streams, one task a file (gzip can't be split anyway)."""
+    files = spark.read.format("binaryFile").load(path).select("path")
     names = schema.names
 
     def rows(batches):
         import pyarrow as pa
+        import pyarrow.fs
 
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                text = io.TextIOWrapper(io.BytesIO(pygzip.decompress(data) if gzip else data), encoding="utf-8", newline="")
+            for place in batch.column(0).to_pylist():
+                system, name = pa.fs.FileSystem.from_uri(place)
+                data = system.open_input_stream(name, compression=None)
+                text = io.TextIOWrapper(pygzip.GzipFile(fileobj=data) if gzip else io.BufferedReader(data), encoding="utf-8", newline="")
                 reader = pycsv.reader(text, delimiter=delimiter, strict=True)
                 header = next(reader, [])
                 places, held = _places(header, schema), []
@@ -65,10 +68,11 @@ def _unpacked(spark: SparkSession, path: str, gzip: bool, delimiter: str, schema
     return _typed(cells, {n: i for i, n in enumerate(names)}, schema)
 
 
-def scan(spark: SparkSession, path: str, schema: TableSchema, delimiter: str = ",", gzip: bool = False) -> DataFrame:
+def scan(spark: SparkSession, path: str, schema: TableSchema, delimiter: str = ",", gzip: bool = False, multiline: bool = True) -> DataFrame:
     """The declared columns of a CSV file (or folder of files with one header).
 
-    ``gzip`` decides whether files are compressed, whatever they are called.
+    ``gzip`` decides whether files are compressed, whatever they are called. A file with line breaks inside of cells can't be split:
+    where there are none, ``multiline`` = False reads a large file in many tasks.
     """
     if len(delimiter) != 1 or not delimiter.isascii():
         raise ConfigError(f"delimiter must be one ASCII character, not {delimiter!r}")
@@ -77,5 +81,5 @@ def scan(spark: SparkSession, path: str, schema: TableSchema, delimiter: str = "
         return _unpacked(spark, path, gzip, delimiter, schema)
     header = _header(spark, path, delimiter)
     places = _places(header, schema)
-    cells = spark.read.option("header", "true").option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", "true").option("mode", "FAILFAST").option("columnPruning", "false").option("inferSchema", "false").csv(path)
+    cells = spark.read.option("header", "true").option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", str(multiline).lower()).option("mode", "FAILFAST").option("columnPruning", "false").option("inferSchema", "false").csv(path)
     return _typed(cells, places, schema)

@@ -8,7 +8,7 @@ from ..config import Settings
 from . import csv, sqlite
 
 READERS = {
-    "csv": lambda spark, s: csv.scan(spark, s.source.path, s.schema, s.source.delimiter, s.source.gzip),
+    "csv": lambda spark, s: csv.scan(spark, s.source.path, s.schema, s.source.delimiter, s.source.gzip, s.source.multiline),
     "sqlite": lambda spark, s: sqlite.scan(spark, s.source.path, s.source.table, s.schema),
 }
 

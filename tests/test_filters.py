@@ -10,10 +10,10 @@ from quernstone.operators.predicate import Range
 from quernstone.operators.schema import TableSchema
 from quernstone.plans import request, response
 
-SCHEMA = TableSchema.of({"amount": "float", "country": "string", "user_id": "integer"})
-FULL = [(10.0, "DE", 1), (20.0, "PL", 2), (30.0, "DE", 3), (40.0, "FR", 4), (50.0, "PL", 5)]
-HOLES = [(10.0, "DE", 1), (20.0, "PL", 2), (None, "FR", 3), (40.0, None, 4), (50.0, "PL", 5)]
-TYPES = "amount double, country string, user_id long"
+SCHEMA = TableSchema.of({"weight": "float", "breed": "string", "tag": "integer"})
+HERD = [(612.5, "angus", 31), (540.25, "jersey", 32), (498.0, "jersey", 35), (701.75, "zebu", 38), (455.5, "angus", 40), (530.0, "dexter", 41), (389.25, "jersey", 47)]
+GAPS = [(612.5, "angus", 31), (None, "jersey", 32), (498.0, None, 35), (701.75, "zebu", None), (None, None, 40), (530.0, "dexter", 41), (389.25, "jersey", 47)]
+TYPES = "weight double, breed string, tag long"
 
 
 def answer(spark, rows, body, counts=False, schema=SCHEMA, types=TYPES):
@@ -24,30 +24,33 @@ def answer(spark, rows, body, counts=False, schema=SCHEMA, types=TYPES):
 @pytest.mark.parametrize(
     ("rows", "body", "matched", "count", "total"),
     [
-        (FULL, {}, 5, 5, 150.0),
-        (FULL, {"must": {"country": ["DE", "PL"]}}, 4, 4, 110.0),
-        (FULL, {"must_not": {"country": ["DE"]}}, 3, 3, 110.0),
-        (FULL, {"ranges": {"amount": {"gte": 20, "lt": 40}}}, 2, 2, 50.0),
-        (FULL, {"must": {"country": ["US"]}}, 0, 0, 0.0),
-        (FULL, {"must": {"country": [" DE", "de"]}}, 0, 0, 0.0),
-        (HOLES, {"ranges": {"amount": {"gte": 0}}}, 4, 4, 120.0),
-        (HOLES, {}, 5, 4, 120.0),
-        (HOLES, {"must_not": {"country": ["FR"]}}, 4, 4, 120.0),
-        (HOLES, {"must": {"country": ["PL", "FR", "DE"]}}, 4, 3, 80.0),
-        (HOLES, {"ranges": {"amount": {}}}, 4, 4, 120.0),
+        (HERD, {}, 7, 7, 3727.25),
+        (HERD, {"must": {"breed": ["angus", "zebu"]}}, 3, 3, 1769.75),
+        (HERD, {"must_not": {"breed": ["jersey"]}}, 4, 4, 2299.75),
+        (HERD, {"must_not": {"breed": ["jersey", "angus"]}, "ranges": {"tag": {"lte": 40}}}, 1, 1, 701.75),
+        (HERD, {"ranges": {"weight": {"gt": 498, "lte": 612.5}}}, 3, 3, 1682.75),
+        (HERD, {"ranges": {"weight": [{"lt": 400}, {"gte": 700}], "tag": {"gt": 31}}}, 2, 2, 1091.0),
+        (HERD, {"must": {"breed": ["longhorn"]}}, 0, 0, 0.0),
+        (HERD, {"must": {"breed": ["zebu ", "Zebu"]}}, 0, 0, 0.0),
+        (GAPS, {}, 7, 5, 2731.5),
+        (GAPS, {"ranges": {"weight": {"gte": -1}}}, 5, 5, 2731.5),
+        (GAPS, {"ranges": {"weight": {}}}, 5, 5, 2731.5),
+        (GAPS, {"ranges": {"tag": [{}, {"eq": 31}]}}, 6, 4, 2029.75),
+        (GAPS, {"must_not": {"breed": ["zebu", "dexter"]}}, 5, 3, 1499.75),
+        (GAPS, {"must": {"breed": ["jersey", "dexter"]}}, 3, 2, 919.25),
     ],
 )
-def test_fixture_cases(spark, rows, body, matched, count, total):
+def test_clauses(spark, rows, body, matched, count, total):
     out = answer(spark, rows, body)
     assert out["matched_rows"] == matched
-    assert (out["numeric"]["amount"]["count"], out["numeric"]["amount"]["sum"]) == (count, total)
-    assert "country" not in out["numeric"] and "string_counts" not in out
-    assert ("min" in out["numeric"]["amount"]) == (count > 0)
+    assert (out["numeric"]["weight"]["count"], out["numeric"]["weight"]["sum"]) == (count, total)
+    assert "breed" not in out["numeric"] and "string_counts" not in out
+    assert ("min" in out["numeric"]["weight"]) == (count > 0)
 
 
 def test_string_counts(spark):
-    assert answer(spark, FULL, {}, True)["string_counts"] == {"country": {"DE": 2, "FR": 1, "PL": 2}}
-    assert answer(spark, FULL, {"must": {"country": ["DE", "PL"]}}, True)["string_counts"] == {"country": {"DE": 2, "PL": 2}}
+    assert answer(spark, HERD, {}, True)["string_counts"] == {"breed": {"angus": 2, "dexter": 1, "jersey": 3, "zebu": 1}}
+    assert answer(spark, GAPS, {"ranges": {"weight": {"lt": 600}}}, True)["string_counts"] == {"breed": {"dexter": 1, "jersey": 1}}
 
 
 def test_nan_infinity_and_hidden(spark):
@@ -118,11 +121,11 @@ def test_random_queries_agree_with_a_naive_evaluator(spark):
 
 def test_ranges_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
-    spark.createDataFrame([(float(i), i, "x") for i in range(10)], TYPES.replace("country string, user_id long", "user_id long, country string")).write.parquet(path)
-    df = predicate.matching(spark.read.parquet(path), request.parse({"ranges": {"user_id": [{"gt": 2.5, "lte": 4}, {"eq": 7}], "amount": {"gte": 1}}, "must": {"country": ["x"]}}), SCHEMA)
+    spark.createDataFrame([(float(i), i, "x") for i in range(10)], TYPES.replace("breed string, tag long", "tag long, breed string")).write.parquet(path)
+    df = predicate.matching(spark.read.parquet(path), request.parse({"ranges": {"tag": [{"gt": 2.5, "lte": 4}, {"eq": 7}], "weight": {"gte": 1}}, "must": {"breed": ["x"]}}), SCHEMA)
     plan = df._jdf.queryExecution().executedPlan().toString()
     plan = next(line for line in plan.split("\n") if "PushedFilters" in line).split("PushedFilters")[1]
-    for part in ("EqualTo(country,x)", "IsNotNull(user_id)", "Or(And(GreaterThanOrEqual(user_id,3)"):
+    for part in ("EqualTo(breed,x)", "IsNotNull(tag)", "Or(And(GreaterThanOrEqual(tag,3)"):
         assert part in plan
     assert df.count() == 3
 
@@ -150,15 +153,39 @@ def test_bounds():
 
 
 def test_columns_are_checked(spark):
-    for body in ({"must": {"no": ["x"]}}, {"must": {"amount": ["x"]}}, {"must_not": {"user_id": []}}, {"ranges": {"country": {}}}, {"ranges": {"no": []}}):
+    for body in ({"must": {"no": ["x"]}}, {"must": {"weight": ["x"]}}, {"must_not": {"tag": []}}, {"ranges": {"breed": {}}}, {"ranges": {"no": []}}):
         with pytest.raises(QueryError):
-            answer(spark, FULL, body)
+            answer(spark, HERD, body)
 
 
 def test_zones(spark):
-    keys = [5, 1, 1, 1, 1, 1, 9, 7, 3, 2, None]
+    keys = [8, -2, 4, 4, 4, 4, 4, 11, 10**12, 3, None]  # a null counts as 0
     df = spark.createDataFrame([(k,) for k in keys], "k long")
     rows = sorted(map(tuple, zones.zones(df, df["k"], 3).collect()))
-    assert rows == [(0, 1, 1), (1, 1, 2), (2, 3, 7), (3, 9, 9)]
-    assert [r[0] for r in zones.overlapping(zones.zones(df, df["k"], 3), (Range((8, True), None), Range(None, (1, False)))).collect()] == [3]
-    assert zones.zones(df.where("k > 99"), df["k"], 3).count() == 0
+    assert rows == [(0, -2, 3), (1, 4, 4), (2, 4, 8), (3, 11, 10**12)]
+    hit = {r[0] for r in zones.overlapping(zones.zones(df, df["k"], 3), (Range((11, True), None), Range(None, (-1, False)))).collect()}
+    assert hit == {0, 3}
+    assert zones.zones(df.where("false"), df["k"], 3).count() == 0
+
+
+def test_order_is_stable_and_nulls_count_as_zero(spark):
+    schema = TableSchema.of({"k": "integer", "n": "integer"})
+    keys = [5, None, -1, 5, 0, None, 5, 2, -1, 0]
+    df = spark.createDataFrame(list(enumerate(keys)), "n long, k long").coalesce(1)
+    found = [r["n"] for part in zones.ordered(df, schema, "k", 3).rdd.glom().collect() for r in part]
+    assert found == sorted(range(len(keys)), key=lambda i: (keys[i] or 0, i))
+
+
+def test_zoned_timestamps(spark):
+    """A timestamp with a zone is an instant, whatever the session's zone."""
+    schema = TableSchema.of({"t": "date-time"})
+    df = spark.sql("select timestamp_micros(cast(m as bigint)) as t from values (0), (999999), (1000000), (-1), (1262304000500000) as v(m)")
+    assert answer_of(df, {"ranges": {"t": {"gte": "1970-01-01T00:00:00Z", "lte": 0}}}, schema) == (2, 0, 0)
+    assert answer_of(df, {"ranges": {"t": {"eq": "2010-01-01T00:00:00Z"}}}, schema) == (1, 1262304000, 1262304000)
+    assert answer_of(df, {"ranges": {"t": {"lt": "1970-01-01T00:00:00Z"}}}, schema) == (1, -1, -1)
+    assert answer_of(df, {}, schema) == (5, -1, 1262304000)
+
+
+def answer_of(df, body, schema):
+    row = aggregate.summary(predicate.matching(df, request.parse(body), schema), schema).first()
+    return row["matched_rows"], row["lo0"], row["hi0"]
