@@ -1,37 +1,40 @@
 """Approximate nearest neighbours: a hierarchical k-means tree, best-bin-first.
 
-The tree is fitted on a bounded sample (``SAMPLE`` vectors, those of the smallest hashes of vec_id), split by spherical k-means
-into ``BRANCH`` children until a node holds ``LEAF`` of them or fewer. Every vector is then filed in a leaf. A query walks
-the tree with a priority queue: the nearest open node is taken, a leaf is visited, an inner node queues its children. How
-many leaves are visited is calibrated: for ``CALIBRATION`` queries, their true neighbours by brute force over all vectors (in
-blocks, each task keeps the best few) show how many visits reach the wanted recall, and all queries make as many. A query
-whose leaves hold fewer candidates than asked for visits on until they suffice.
+The tree is fitted on a bounded sample (``SAMPLE`` vectors and ``SAMPLE_BYTES`` at most, those of the smallest hashes of vec_id), split by
+spherical k-means into ``BRANCH`` children until a leaf stands for ``LEAF`` rows of the table or holds ``LEAST`` sampled ones; so its depth
+grows with the table. Every vector is then filed in a leaf. A query walks the tree with a priority queue: the nearest open node
+is taken, a leaf is visited, an inner node queues its children. How many leaves are visited is calibrated: for ``CALIBRATION`` queries,
+their true neighbours by brute force over all vectors (in blocks, each task keeps the best few) show how many visits reach the wanted recall,
+and all queries make as many. A query whose leaves hold fewer candidates than asked for visits on until they suffice. What share of the vectors
+that is depends on how clustered they are: ``report`` tells.
 
 Leaves are stored in blocks of a bounded number of vectors, so a vector that a third of the rows share doesn't gather in
-one task; a block finds its own best few for each query that visits it, and these are merged. Nearness is cosine in
-double precision, summed for each pair in the same order, so equal vectors tie exactly; ties go to the smaller vec_id.
+one task; a block meets the queries that visit it, in parts of a bounded number, finds its own best few for each, and these are merged.
+Nearness is cosine in double precision. Each vector is first scaled by a power of two, which leaves the measure as it is and keeps squares from
+overflowing or vanishing. Sums are taken for each pair in the same order, so equal vectors tie exactly; ties go to the smaller vec_id.
 
-Vectors that are null, zero, empty or hold null or non-finite components, or whose length isn't that of most sampled ones, take no part. Of
-rows that repeat a vec_id, each is a candidate, but none for a query of that id. Further columns are ignored. An empty table gives an empty table.
+Vectors that are null, zero, empty or hold null or non-finite components, or whose length isn't the most common one, take no part, nor do rows without a vec_id. Of
+rows that repeat a vec_id, each is a candidate, but none for a query of that id. Further columns, whatever their names, are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, BRANCH, LEAF = 20_000, 16, 120
-CALIBRATION, RECALL = 200, 0.97
-BLOCK, QUERIES = 4096, 20_000
+SAMPLE, SAMPLE_BYTES, BRANCH, LEAF, LEAST = 131_072, 96 << 20, 16, 64, 8
+CALIBRATION, RECALL = 200, 0.95
+BLOCK, QUERIES, AT_ONCE = 4096, 20_000, 256
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -41,24 +44,34 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ok)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component below 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of rows that stand opposite each other, in double precision; each sum in the order of its row."""
+    a, b = scaled(a), scaled(b)
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 class Tree:
     """Centres of the children of each inner node; leaves are numbered."""
 
-    def __init__(self, vectors: np.ndarray, seed: int = 3):
+    def __init__(self, vectors: np.ndarray, leaf: int, seed: int = 3):
+        """vectors: the sample; leaf: how many of them a leaf holds at most."""
+        self.leaf = leaf
         self.centres: list[np.ndarray] = []
         self.children: list[list[int]] = []  # of inner nodes; -1 - leaf for leaves
         self.leaves, self.rng = 0, np.random.default_rng(seed)
@@ -69,12 +82,10 @@ class Tree:
         return -self.leaves
 
     def _grow(self, x: np.ndarray) -> int:
-        if len(x) <= LEAF:
+        if len(x) <= self.leaf or (x == x[0]).all():
             return self._leaf()
-        different = np.unique(x, axis=0)
-        if len(different) < 2:
-            return self._leaf()
-        centres = different[self.rng.choice(len(different), min(BRANCH, len(different)), replace=False)]
+        other = x[int((x != x[0]).any(1).argmax())]
+        centres = np.unique(np.vstack([x[self.rng.choice(len(x), min(BRANCH, len(x)) - 1, replace=False)], other]), axis=0)
         for _ in range(12):
             near = (x @ centres.T).argmax(1)
             moved = np.stack([x[near == k].sum(0) if (near == k).any() else centres[k] for k in range(len(centres))])
@@ -116,105 +127,162 @@ class Tree:
                 heapq.heappush(queue, (-float(s), order, child))
 
 
+def _pairs(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, vec_id and score of the k nearest of some vectors to each query, best first: one matrix product for a quick bound, then exact scores for all that could be among them."""
+    out: list[tuple] = []
+    units = unit(vectors) if len(vectors) else vectors
+    for at in range(0, len(queries) if len(ids) else 0, AT_ONCE):
+        these = queries[at : at + AT_ONCE]
+        rough = unit(q[at : at + AT_ONCE]) @ units.T
+        rough[these[:, None] == ids[None, :]] = -np.inf
+        least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(these), -np.inf)
+        row, col = np.nonzero((rough >= least[:, None] - 1e-9) & (rough > -np.inf))
+        score = np.concatenate([cosine(q[at + row[i : i + 65_536]], vectors[col[i : i + 65_536]]) for i in range(0, len(row), 65_536)] or [np.zeros(0)])
+        by = np.lexsort((ids[col], -score, row))
+        row, col, score = row[by], col[by], score[by]
+        first = np.searchsorted(row, np.arange(len(these)))
+        keep = np.arange(len(row)) - first[row] < k
+        out.append((these[row[keep]], ids[col[keep]], score[keep]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _best(ids: np.ndarray, vectors: np.ndarray, query: int, q: np.ndarray, k: int) -> list[tuple[int, float]]:
-    """The k nearest of some vectors: a quick bound first, then exact scores for all that could be among them."""
-    other = ids != query
-    if not other.all():
-        ids, vectors = ids[other], vectors[other]
-    if not len(ids):
-        return []
-    rough = (vectors @ q) / (np.sqrt((vectors * vectors).sum(1)) * np.sqrt((q * q).sum()))
-    if len(ids) > k:
-        near = np.flatnonzero(rough >= np.partition(rough, len(ids) - k)[len(ids) - k] - 1e-9)
-        ids, vectors = ids[near], vectors[near]
-    score = cosine(vectors, np.broadcast_to(q, vectors.shape))
-    by = np.lexsort((ids, -score))[:k]
-    return [(int(ids[i]), float(score[i])) for i in by]
-
-
-def truth(rows: DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    _, found, score = _pairs(ids, vectors, np.array([query]), q[None, :], k)
+    return list(zip(found.tolist(), score.tolist(), strict=True))
+
+
+def truth(rows: DataFrame, queries: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
     """query_id, vec_id, leaf, score: the true neighbours of a bounded set of queries. Each task reads its rows in blocks and passes k rows a query on."""
-    q = [(int(i), np.array(v)) for i, v in zip(queries["vec_id"], queries["v"], strict=True)]
 
     def run(batches):
-        best: dict[int, list] = {i: [] for i, _ in q}
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))
         for batch in batches:
             if batch.num_rows:
-                ids, vectors = batch.column("vec_id").to_numpy(), _matrix(batch.column("v"))
-                leaf = dict(zip(ids.tolist(), batch.column("leaf").to_pylist(), strict=True))
-                for i, v in q:
-                    best[i] = sorted(best[i] + [(-s, c, leaf[c]) for c, s in _best(ids, vectors, i, v, k)])[:k]
-        out = [(i, c, f, -s) for i, x in best.items() for s, c, f in x]
-        if out:
-            columns = list(zip(*out, strict=True))
-            yield common.batch_of(query_id=pa.array(columns[0], pa.int64()), vec_id=pa.array(columns[1], pa.int64()), leaf=pa.array(columns[2], pa.int32()), score=pa.array(columns[3], pa.float64()))
+                ids, leaf = batch.column("vec_id").to_numpy(), batch.column("leaf").to_numpy()
+                order = np.argsort(ids, kind="stable")
+                found = _pairs(ids, _matrix(batch.column("v")), queries, q, k)
+                of = leaf[order][np.searchsorted(ids[order], found[1])]
+                held = tuple(np.concatenate(x) for x in zip(held, (*found, of), strict=True))
+                by = np.lexsort((held[1], -held[2], held[0]))
+                held = tuple(x[by] for x in held)
+                keep = np.arange(len(by)) - np.searchsorted(held[0], held[0]) < k
+                held = tuple(x[keep] for x in held)
+        yield common.batch_of(query_id=pa.array(held[0]), vec_id=pa.array(held[1]), leaf=pa.array(held[3], pa.int32()), score=pa.array(held[2]))
 
     found = rows.mapInArrow(run, "query_id long, vec_id long, leaf int, score double")
     top = found.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k)
     return top.drop("r").toPandas()
 
 
-def calibrate(tree: Tree, queries: pd.DataFrame, near: pd.DataFrame, recall: float = RECALL) -> int:
+def calibrate(tree: Tree, queries: np.ndarray, q: np.ndarray, near: pd.DataFrame, recall: float = RECALL) -> int:
     """The least number of leaf visits that finds the wanted share of the true neighbours."""
     needed = []
     by = {int(i): g["leaf"].tolist() for i, g in near.groupby("query_id")}
-    for i, v in zip(queries["vec_id"], queries["v"], strict=True):
-        if want := by.get(int(i)):
-            place = {leaf: n for n, leaf in enumerate(tree.visits(unit(np.array(v)[None, :])[0]), 1)}
+    for i, v in zip(queries.tolist(), unit(q) if len(q) else q, strict=True):
+        if want := by.get(i):
+            place = {leaf: n for n, leaf in enumerate(tree.visits(v), 1)}
             needed += [place[leaf] for leaf in want]
     return int(np.quantile(needed, recall, method="higher")) if needed else 1
 
 
-def search(embeddings: DataFrame, k: int = 5, every: int = 50, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by ``every``."""
-    spark = embeddings.sparkSession
-    sample = usable(embeddings).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    width = Counter(map(len, sample["v"])).most_common(1)[0][0] if len(sample) else 0
-    tree = Tree(np.array([v for v in sample["v"] if len(v) == width], np.float64).reshape(-1, max(1, width)))
-    shared = spark.sparkContext.broadcast(tree)
+class Index(NamedTuple):
+    """Filed rows (vec_id, v, leaf), the tree, how many leaves a query visits and how many rows each leaf holds."""
+
+    rows: DataFrame
+    tree: Broadcast
+    visits: int
+    sizes: dict[int, int]
+
+
+def build(embeddings: DataFrame, k: int = 5, every: int = 50, recall: float = RECALL) -> Index:
+    valid = usable(embeddings)
+    widths = valid.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
+    width, total = (widths[0]["w"], widths[0]["n"]) if widths else (1, 0)
+    valid = valid.where(F.size("v") == width)
+    wanted = max(1, min(total, SAMPLE, SAMPLE_BYTES // (8 * width), 2 * LEAST * -(-total // LEAF)))
+    sample = _matrix(valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("v").toArrow().column("v")) if total else np.zeros((0, 1))
+    tree = valid.sparkSession.sparkContext.broadcast(Tree(sample, max(LEAST, LEAF * len(sample) // max(1, total))))
 
     def filed(batches):
         for batch in batches:
             if batch.num_rows:
-                leaf = shared.value.leaf_of(unit(_matrix(batch.column("v"))))
+                leaf = tree.value.leaf_of(unit(_matrix(batch.column("v"))))
                 yield common.batch_of(vec_id=batch.column("vec_id"), v=batch.column("v"), leaf=pa.array(leaf))
 
-    rows = common.saved(usable(embeddings).where(F.size("v") == width).mapInArrow(filed, "vec_id long, v array<double>, leaf int"), "filed")
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    some = asked.select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATION).toPandas()
-    visits = calibrate(tree, some, truth(rows, some, k), recall) if len(some) else 1
-    leaf_sizes = {r["leaf"]: r["n"] for r in rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by the tree's leaves
+    rows = common.saved(valid.mapInArrow(filed, "vec_id long, v array<double>, leaf int"), "filed")
+    some = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATION).toArrow()
+    queries, q = some.column("vec_id").to_numpy().astype(np.int64), _matrix(some.column("v")) if some.num_rows else np.zeros((0, width))
+    visits = calibrate(tree.value, queries, q, truth(rows, queries, q, k), recall) if len(queries) else 1
+    sizes = {r["leaf"]: r["n"] for r in rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by the tree's leaves
+    return Index(rows, tree, visits, sizes)
+
 
-    def routed(batches):
-        tree = shared.value
+def visiting(index: Index, asked: DataFrame, k: int, vectors: bool = True) -> DataFrame:
+    """query_id, leaf and, if wanted, the vector q, for each visit."""
+    shared, visits, sizes = index.tree, index.visits, index.sizes
+
+    def run(batches):
         for batch in batches:
             query, at = [], []
             for i, v in enumerate(unit(_matrix(batch.column("v"))) if batch.num_rows else []):
                 held = 0
-                for n, leaf in enumerate(tree.visits(v)):
+                for n, leaf in enumerate(shared.value.visits(v)):
                     if n >= visits and held > k:
                         break
-                    held += leaf_sizes.get(leaf, 0)
+                    held += sizes.get(leaf, 0)
                     query.append(i)
                     at.append(leaf)
-            yield common.batch_of(query_id=batch.column("vec_id").take(pa.array(query, pa.int32())), q=batch.column("v").take(pa.array(query, pa.int32())), leaf=pa.array(at, pa.int32()))
-
-    blocks = {leaf: -(-n // BLOCK) for leaf, n in leaf_sizes.items()}
-    many = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair if blocks[pair[0]] > 1]) if any(n > 1 for n in blocks.values()) else None
-    of = lambda c: F.coalesce(many[c], F.lit(1)) if many is not None else F.lit(1)
-    parts = -(-asked.count() // QUERIES) or 1  # a block meets its leaf's queries in parts, too
-    stored = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), of(F.col("leaf"))).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    visiting = asked.select("vec_id", "v").mapInArrow(routed, "query_id long, q array<double>, leaf int").withColumn("block", F.explode(F.sequence(F.lit(0), of(F.col("leaf")).cast("int") - 1))).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-
-    def met(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            ids, vectors = left["vec_id"].to_numpy(), np.array(left["v"].tolist(), np.float64)
-            for query, q in zip(right["query_id"], right["q"], strict=True):
-                out += [(query, c, s) for c, s in _best(ids, vectors, query, np.array(q, np.float64), k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    pairs = stored.groupBy("leaf", "block", "part").cogroup(visiting.groupBy("leaf", "block", "part")).applyInPandas(met, "query_id long, vec_id long, score double")
+                if len(at) > 50_000 or (at and i == batch.num_rows - 1):
+                    of = pa.array(query, pa.int32())
+                    yield common.batch_of(query_id=batch.column("vec_id").take(of), leaf=pa.array(at, pa.int32()), **({"q": batch.column("v").take(of)} if vectors else {}))
+                    query, at = [], []
+
+    return asked.mapInArrow(run, "query_id long, leaf int" + ", q array<double>" * vectors)
+
+
+def _asked(index: Index, every: int) -> DataFrame:
+    return index.rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v")
+
+
+def _visitors(index: Index, every: int, k: int) -> dict[int, int]:
+    """How many queries visit each leaf."""
+    return {r["leaf"]: r["n"] for r in visiting(index, _asked(index, every), k, False).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def report(embeddings: DataFrame, k: int = 5, every: int = 50, recall: float = RECALL) -> dict:
+    """The number of vectors, leaves and visits a query, and the share of all (query, vector) pairs that are compared."""
+    index = build(embeddings, k, every, recall)
+    total, queries = sum(index.sizes.values()), _asked(index, every).count()
+    pairs = sum(n * index.sizes.get(leaf, 0) for leaf, n in _visitors(index, every, k).items())
+    return {"vectors": total, "leaves": index.tree.value.leaves, "visits": index.visits, "share": pairs / max(1, total * queries)}
+
+
+def search(embeddings: DataFrame, k: int = 5, every: int = 50, recall: float = RECALL) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by ``every``."""
+    index = build(embeddings, k, every, recall)
+    visitors = _visitors(index, every, k)
+    blocks = {leaf: -(-n // BLOCK) for leaf, n in index.sizes.items()}
+    parts = {leaf: -(-n // QUERIES) for leaf, n in visitors.items()}
+
+    def of(table: dict[int, int]):
+        """The table's number of a row's leaf; the map holds only those above 1."""
+        more = [F.lit(x) for leaf, n in table.items() if n > 1 for x in (leaf, n)]
+        return F.coalesce(F.create_map(*more)[F.col("leaf")], F.lit(1)) if more else F.lit(1)
+
+    some = lambda n, c: F.pmod(F.xxhash64(c), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    stored = index.rows.withColumn("block", some(of(blocks), "vec_id")).withColumn("part", each(of(parts)))
+    asked = visiting(index, _asked(index, every), k).withColumn("block", each(of(blocks))).withColumn("part", some(of(parts), "query_id"))
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if left.num_rows and right.num_rows:
+            found = _pairs(left.column("vec_id").to_numpy(), _matrix(left.column("v")), right.column("query_id").to_numpy(), _matrix(right.column("q")), k)
+        return pa.table({n: pa.array(c) for n, c in zip(("query_id", "vec_id", "score"), found, strict=True)})
+
+    pairs = stored.groupBy("leaf", "block", "part").cogroup(asked.groupBy("leaf", "block", "part")).applyInArrow(met, "query_id long, vec_id long, score double")
     ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -318,3 +318,32 @@ def test_ann_small_tables(spark):
     assert ann.search(vectors(spark, [(0, [1.0, 0.0], 0, "x")])).count() == 0
     rows = ann.search(vectors(spark, [(50, [1.0, 0.0], 0, "x"), (3, [2.0, 0.0], 0, "x"), (1, [1.0, 0.0], 0, "x"), (2, [0.0, 1.0], 0, "x"), (50, [1.0, 1.0], 0, "x")])).where("query_id = 50").collect()
     assert {r["vec_id"] for r in rows} <= {1, 2, 3}
+
+
+def test_ann_magnitudes():
+    big, small = np.array([[1e200, 1e200]]), np.array([[1e-200, 0.0]])
+    assert ann.cosine(big, big)[0] == pytest.approx(1) and ann.cosine(small, np.array([[2.0, 0.0]]))[0] == 1.0
+    assert ann.cosine(np.array([[1e200, 1e-200]]), np.array([[1e200, 1e-200]]))[0] == 1.0
+    assert ann.cosine(np.array([[5e-324, 0.0]]), np.array([[1.7e308, 0.0]]))[0] == 1.0
+    x = np.random.default_rng(4).normal(size=(2, 50, 16))
+    plain = (x[0] * x[1]).sum(1) / (np.sqrt((x[0] * x[0]).sum(1)) * np.sqrt((x[1] * x[1]).sum(1)))
+    assert (ann.cosine(*x) == plain).all()  # a power of two changes no ordinary score
+
+
+def test_ann_magnitudes_in_a_table(spark):
+    rows = [(0, [1.0, 0.0], 0, "x"), (1, [0.0, 1.0], 0, "x"), (2, [1.0, 1.0], 0, "x")]
+    wide = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1e200, 0.0]), (2, [1e-200, 1e-200]), (3, [0.0, -1e300])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], round(r["score"], 9)) for r in ann.search(wide).sort("rank").collect()] == [(1, 1.0), (2, 0.707106781), (3, 0.0)]
+    assert ann.search(vectors(spark, rows)).count() == 2
+
+
+def test_ann_prunes_clustered_vectors(spark):
+    """The deeper tree of a larger table lets a query see a smaller share of it."""
+    rng, shares = np.random.default_rng(6), []
+    centres = rng.normal(size=(300, 16))
+    for n in (1000, 12_000):
+        data = centres[rng.integers(0, 300, n)] + 0.15 * rng.normal(size=(n, 16))
+        found = ann.report(vectors(spark, [(i, v.tolist(), 0, "x") for i, v in enumerate(data)]))
+        assert found["vectors"] == n and found["leaves"] >= n // 128
+        shares.append(found["share"])
+    assert shares[1] < shares[0] / 2 and shares[1] < 0.1
