@@ -254,7 +254,6 @@ def lm_base(rows):
 @pytest.mark.parametrize("frequent", [1 << 16, 20])
 def test_lm_base(docs_of, odd, sample, monkeypatch, frequent):
     monkeypatch.setattr(lm, "FREQUENT", frequent)
-    monkeypatch.setattr(lm, "STEPS", 5)
     texts = odd + [t for _, t in sample[:60]] + odd
     got = sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in lm.score(docs_of(texts)).collect())
     want = lm_base(list(enumerate(texts)))
@@ -269,17 +268,60 @@ def test_lm_empty(docs_of):
     assert row["train_tokens"] == 0 and row["n_known"] == 0 and math.isfinite(row["score"]) and math.isclose(row["base_score"], 0, abs_tol=1e-9)
 
 
-def test_lm_is_normalised_and_learns():
-    rng = np.random.default_rng(0)
-    pairs = np.zeros((lm.VOCAB, lm.VOCAB), np.int64)
-    pairs[:40, :40] = rng.poisson(2, (40, 40))
-    for i in range(40):
-        pairs[i, (i + 1) % 40] = 200  # each word has a usual follower
-    found = lm.train(pairs).astype(float)
-    assert np.allclose((10**found).sum(1), 1, atol=1e-3)
-    unigram = np.log10(pairs.sum(0)[:40] / pairs.sum())
-    model = (pairs[:40, :40] * found[:40, :40]).sum() / pairs.sum()
-    assert model > (pairs[:40, :40] * unigram).sum() / pairs.sum() + 0.3
+def test_lm_trainer_learns_followers_from_drawn_noise():
+    """Each word has a usual follower two places on: two words of context tell more than counts do."""
+    rng, n = np.random.default_rng(0), 600
+    numbers = rng.integers(0, n, 60_000).astype(np.int32)
+    for i in range(2, len(numbers)):
+        if rng.random() < 0.8:
+            numbers[i] = (numbers[i - 2] * 7 + 1) % n
+    counts = np.bincount(numbers, minlength=n)
+    by = np.argsort(-counts)
+    numbers, counts = np.argsort(by)[numbers].astype(np.int32), counts[by]
+    weights = lm.start(counts, 0)
+    before = lm.contexts(numbers, np.array([0, len(numbers)]), 0)
+    plain = lm.Model(weights, 1, 1, 0, 0).log10(before, numbers)
+    assert np.allclose(plain, np.log10((counts + lm.SMOOTH) / (counts.sum() + lm.SMOOTH * (n + 1)))[numbers], atol=1e-4)
+    trainer = lm.Trainer(weights, 1)
+    for _ in range(6):
+        trainer.text(numbers, before)
+    model = lm.Model(trainer.w, 1, 1, 0, 0)
+    assert model.log10(before, numbers).mean() > plain.mean() + 0.1
+    one = np.repeat(before[:, 100:101], n + 1, axis=1)
+    assert math.isclose((10 ** model.log10(one, np.arange(n + 1))).sum(), 1, abs_tol=1e-4)
+
+
+@pytest.mark.parametrize("frequent", [1 << 16, 40])
+def test_lm_scores_by_brute_force(spark, docs_of, sample, monkeypatch, frequent):
+    """Each token's probability by loops over all classes and words."""
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    texts = [None, "", "A b a B c"] + [t for _, t in sample[:12]] + ["unheard-of words"] * 2
+    docs = docs_of(texts)
+    counts = common.saved(lm.word_counts(docs), "word-counts")
+    lookup, model = lm.fit(docs, counts)
+    known = {int(np.uint64(r["w"] % (1 << 64))): r["c"] for r in counts.collect()}
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, counts, (lookup, model)).collect()}
+    low = {c: c + 32 for c in range(65, 91)}
+    import pyarrow as pa
+
+    for i, t in enumerate(texts):
+        words = WORDS.findall((t or "").translate(low))
+        hashes = [int(h) for h in common.Words(pa.array([" ".join(words)])).hashes] + [int(lm.END_HASH)]
+        numbers = lookup(np.array(hashes, np.uint64))[0].tolist()
+        want, past = 0.0, [lookup.end] * lm.CONTEXT
+        for h, w in zip(hashes, numbers, strict=True):
+            x = sum(model.after[k][p].astype(float) for k, p in enumerate(past))
+            scores = [float(model.u[k] @ x) + float(model.a[k]) for k in range(len(model.a))]
+            own = w // lm.GROUP if w < model.n else len(scores) - 1
+            want += scores[own] - math.log(sum(map(math.exp, scores)))
+            if w < model.n:
+                inner = [float(model.q[j] @ x) + float(model.b[j]) for j in range(own * lm.GROUP, min(model.n, (own + 1) * lm.GROUP))]
+                want += inner[w - own * lm.GROUP] - math.log(sum(map(math.exp, inner)))
+            else:
+                want += math.log((known.get(h, 0) + lm.SMOOTH) / (model.rest_tokens + lm.SMOOTH * (model.rest_kinds + 1)))
+            past = [w, *past[:-1]]
+        assert math.isclose(got[i], want / math.log(10), rel_tol=1e-4, abs_tol=1e-4)
+    assert math.isclose(got[len(texts) - 1], got[len(texts) - 2], rel_tol=1e-6)
 
 
 def test_lm_beats_the_base_on_held_out_texts(spark):
