@@ -9,15 +9,15 @@ a document needs few of them. Of the hashes of half-window runs of words, the le
 have equal anchors, so a window can only recur where one of its anchors does. Each anchor that occurs in two documents names a shard: the stretches
 of words around its occurrences. A shard's stretches stream in order of doc_id through the automaton of those
 before them; where the longest match that ends at a word has the window's length or more, the maximal span of such windows is removed,
-after which the stretch joins the reference. Matches are of words, not of hashes.
+after which the stretch joins the reference. The automata compare words, not hashes.
 
-Texts with the same words are settled before: all but those with the smallest doc_id go whole (if they have a window at all), and
-only that document's anchors are counted. A shard with more than ``HOT`` stretches isn't put in one task: the smallest document
-of each of its windows is found by sums that are taken before the shuffle too, and those of windows that recur (as many as the
-shard has different ones, however many documents hold them) are sent to its stretches wherever these are.
+Texts with the same words, told by a 128-bit digest of them, are settled before: all but those with the smallest doc_id go whole (if they have a window at all), and
+only that document's anchors are counted. A shard with more than ``HOT`` stretches isn't put in one task and has no automaton: its windows are known by 128-bit digests
+of their words, the smallest document of each is found by sums that are taken before the shuffle too, and the shard's stretches are dealt over several tasks,
+each of which gets the windows that recur once. There are as many tasks as keep these copies below ``COPIES`` rows for each stretch.
 
-Null texts have no words, shorter texts than a window lose none. Rows with equal doc_id don't remove each
-other's words. Further columns are ignored. An empty table gives an empty table.
+Null texts have no words, shorter texts than a window lose none, texts of any length are read whole. A null doc_id counts as the smallest. Rows with equal doc_id don't remove each
+other's words. Further columns, whatever their names, are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, HOT = 50, 1000
+WINDOW, HOT, COPIES = 50, 1000, 32
 _MAX = np.uint64((1 << 64) - 1)
 
 
@@ -116,15 +116,23 @@ def anchors(words: common.Words, window: int = WINDOW) -> tuple[np.ndarray, np.n
     return at, runs[at]
 
 
+def _bytes(words: common.Words, a: int, b: int) -> bytes:
+    """The bytes from word a up to word b, as they stand in the text."""
+    return words.buf[words.starts[a] : words.ends[b - 1]].tobytes() if b > a else b""
+
+
+def _digests(data: list[bytes]) -> np.ndarray:
+    """128 bits of each, as two numbers."""
+    return np.frombuffer(b"".join(hashlib.blake2b(d, digest_size=16).digest() for d in data), "<i8").reshape(-1, 2)
+
+
 def _profiles(window: int):
     def run(batches):
         for batch in common.slices(batches):
             words = common.Words(batch.column("text"))
             at, hashes = anchors(words, window)
             cut = np.searchsorted(at, words.first)
-            whole = [words.hashes[words.first[i] : words.first[i + 1]] for i in range(batch.num_rows)]
-            h1 = [int(common.folded(w)) - (1 << 63) for w in whole]
-            h2 = [int(common.folded(common.mix(w + np.uint64(5)))) - (1 << 63) for w in whole]
+            h1, h2 = _digests([b" ".join(_bytes(words, int(words.first[i]), int(words.first[i + 1])).split()) for i in range(batch.num_rows)]).T
             place = (at - np.repeat(words.first[:-1], np.diff(cut))).astype(np.int32)
             lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, kind))
             yield common.batch_of(doc_id=batch.column("doc_id"), k=batch.column("k"), n=pa.array(words.counts, pa.int64()), h1=pa.array(h1, pa.int64()), h2=pa.array(h2, pa.int64()), anchors=lists(hashes.view(np.int64), pa.int64()), places=lists(place, pa.int32()))
@@ -143,7 +151,7 @@ def _stretches(window: int):
                 first, last = int(words.first[i]), int(words.first[i + 1])
                 for hit in hits:
                     a, b = max(first, first + hit["place"] - (window - k)), min(last, first + hit["place"] + window)
-                    out.append((hit["anchor"], doc, key, a - first, words.buf[words.starts[a] : words.ends[b - 1]].tobytes()))
+                    out.append((hit["anchor"], doc, key, a - first, _bytes(words, a, b)))
                 if len(out) > 20_000 or (out and i == batch.num_rows - 1):
                     columns = list(zip(*out, strict=True))
                     yield common.batch_of(anchor=pa.array(columns[0], pa.int64()), doc_id=pa.array(columns[1], pa.int64()), k=pa.array(columns[2], pa.int64()), start=pa.array(columns[3], pa.int32()), words=pa.array(columns[4], pa.binary()))
@@ -180,22 +188,31 @@ def _streamed(window: int):
 
 
 def _windows_of(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the windows of some stretches, the row of each, and where in the stretch it begins."""
-    words = common.Words(batch.column("words").cast(pa.large_string()))
-    ok = np.flatnonzero(common.inside(words.first, window))
-    row = common.owners(words.first)[ok]
-    return common.windows(words.hashes, window)[ok], row, ok - words.first[:-1][row]
+    """Digests of the windows of some stretches (two numbers each), the row of each, and where in the stretch it begins. Equal stretches are read once."""
+    known: dict[bytes, np.ndarray] = {}
+    found = []
+    for data in batch.column("words").to_pylist():
+        if data not in known:
+            words = data.split()
+            ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+            joined = b" ".join(words)
+            known[data] = _digests([joined[(ends[i - 1] if i else 0) : ends[i + window - 1] - 1] for i in range(len(words) - window + 1)])
+        found.append(known[data])
+    sizes = np.array([len(f) for f in found], np.int64)
+    row = np.repeat(np.arange(len(found)), sizes)
+    return np.concatenate(found), row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def _first_holders(window: int):
-    """(anchor, w, lo, hi): the smallest and the largest document of each window of a hot shard, over a task's stretches."""
+    """(anchor, w1, w2, lo, hi): the smallest and the largest document of each window of a hot shard, over a task's stretches."""
+    names = ("anchor", "w1", "w2", "lo", "hi")
 
     def merged(parts):
-        a, w, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-        by = np.lexsort((w, a))
-        a, w, lo, hi = a[by], w[by], lo[by], hi[by]
-        cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])]))
-        return a[cut], w[cut], np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut)
+        a, w1, w2, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.lexsort((w2, w1, a))
+        a, w1, w2, lo, hi = a[by], w1[by], w2[by], lo[by], hi[by]
+        cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]))
+        return a[cut], w1[cut], w2[cut], np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut)
 
     def run(batches):
         parts, held = [], 0
@@ -204,43 +221,45 @@ def _first_holders(window: int):
                 continue
             w, row, _ = _windows_of(batch, window)
             doc = batch.column("doc_id").to_numpy()[row]
-            parts.append((batch.column("anchor").to_numpy()[row], w.view(np.int64), doc, doc))
+            parts.append((batch.column("anchor").to_numpy()[row], w[:, 0], w[:, 1], doc, doc))
             held += len(w)
             if held > 1_000_000:
                 parts = [merged(parts)]
                 held = len(parts[0][0])
                 if held > 500_000:
-                    yield common.batch_of(**dict(zip(("anchor", "w", "lo", "hi"), map(pa.array, parts[0]), strict=True)))
+                    yield common.batch_of(**dict(zip(names, map(pa.array, parts[0]), strict=True)))
                     parts, held = [], 0
         if held:
-            yield common.batch_of(**dict(zip(("anchor", "w", "lo", "hi"), map(pa.array, merged(parts)), strict=True)))
+            yield common.batch_of(**dict(zip(names, map(pa.array, merged(parts)), strict=True)))
 
     return run
 
 
 def _against_holders(window: int):
-    """Stretches of hot shards with the windows (w, lo) that recur around their anchor: the spans that a smaller document holds too."""
+    """Sorted by anchor, part and kind: first the windows that recur around an anchor, with their smallest document, then stretches; the spans that a smaller document holds too."""
 
     def run(batches):
-        anchor, ws, los = None, None, None
+        place, first = None, {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            hashes, rows, begins = _windows_of(batch, window)
-            cut, out = np.searchsorted(rows, np.arange(batch.num_rows + 1)), []
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "doc_id", "k", "start")]
-            for i, (a, d, k, start) in enumerate(zip(*columns, strict=True)):
-                if a != anchor:
-                    told = batch.column("told")[i].values
-                    ws, los, anchor = told.field("w").to_numpy(), told.field("lo").to_numpy(), a
-                    by = np.argsort(ws)
-                    ws, los = ws[by], los[by]
-                own = hashes[cut[i] : cut[i + 1]].view(np.int64)
-                at = np.minimum(np.searchsorted(ws, own), len(ws) - 1)
-                gone = begins[cut[i] : cut[i + 1]][(ws[at] == own) & (los[at] < d)]
-                ends = np.zeros(int(gone.max(initial=0)) + window, np.int64)
-                ends[gone + window - 1] = window
-                out += [(d, k, start + b, start + e) for b, e in spans(ends.tolist(), window)] if len(gone) else []
+            stretch = batch.filter(pa.array(batch.column("kind").to_numpy() == 1))
+            hashes, rows, begins = _windows_of(stretch, window) if stretch.num_rows else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            cut, out, i = np.searchsorted(rows, np.arange(stretch.num_rows + 1)), [], 0
+            keys = list(map(tuple, hashes.tolist()))
+            columns = [batch.column(c).to_pylist() for c in ("anchor", "part", "kind", "doc_id", "k", "start", "w1", "w2")]
+            for a, part, kind, d, k, start, w1, w2 in zip(*columns, strict=True):
+                if (a, part) != place:
+                    place, first = (a, part), {}
+                if kind == 0:
+                    first[w1, w2] = d
+                    continue
+                gone = [int(begins[j]) for j in range(cut[i], cut[i + 1]) if first.get(keys[j], d) < d]
+                i += 1
+                if gone:
+                    ends = np.zeros(gone[-1] + window, np.int64)
+                    ends[np.array(gone) + window - 1] = window
+                    out += [(d, k, start + b, start + e) for b, e in spans(ends.tolist(), window)]
             if out:
                 columns = list(zip(*out, strict=True))
                 yield common.batch_of(doc_id=pa.array(columns[0], pa.int64()), k=pa.array(columns[1], pa.int64()), begin=pa.array(columns[2], pa.int32()), end=pa.array(columns[3], pa.int32()))
@@ -267,9 +286,14 @@ def repeated(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame
     found = stretches(hits.where(F.col("n") <= hot)).repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_streamed(window), span)
     if not shared.where(F.col("n") > hot).isEmpty():
         heated = common.saved(stretches(hits.where(F.col("n") > hot)), "heated")
-        held = heated.mapInArrow(_first_holders(window), "anchor long, w long, lo long, hi long").groupBy("anchor", "w").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-        told = common.saved(held.groupBy("anchor").agg(F.collect_list(F.struct("w", "lo")).alias("told")), "told")
-        found = found.unionByName(heated.join(told, "anchor").mapInArrow(_against_holders(window), span))
+        held = heated.mapInArrow(_first_holders(window), "anchor long, w1 long, w2 long, lo long, hi long").groupBy("anchor", "w1", "w2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+        told = common.saved(held.select("anchor", "w1", "w2", "lo"), "told")
+        # a shard's stretches in parts, and a copy of its recurring windows for each part
+        sizes = told.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).join(shared, "anchor")
+        sizes = common.saved(sizes.select("anchor", F.greatest(F.lit(1), F.least(F.ceil(F.col("n") / hot), F.floor(COPIES * F.col("n") / F.col("m")))).cast("int").alias("parts")), "parts")
+        windows = told.join(sizes, "anchor").select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("lo").alias("doc_id"), F.lit(0).cast("long").alias("k"), F.lit(0).alias("start"), F.lit(b"").alias("words"), "w1", "w2")
+        dealt = heated.join(sizes, "anchor").select("anchor", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "doc_id", "k", "start", "words", F.lit(0).cast("long").alias("w1"), F.lit(0).cast("long").alias("w2"))
+        found = found.unionByName(windows.unionByName(dealt).repartition("anchor", "part").sortWithinPartitions("anchor", "part", "kind").mapInArrow(_against_holders(window), span))
     cut = found.groupBy("doc_id", "k").agg(F.collect_set(F.struct("begin", "end")).alias("spans")).withColumn("whole", F.lit(False))
     return cut.unionByName(copies.withColumn("spans", F.lit(None).cast("array<struct<begin:int,end:int>>")).withColumn("whole", F.lit(True)))
 
