@@ -21,8 +21,9 @@ from ..functions import coerce, times
 from ..operators import aggregate, predicate, zones
 from ..operators.predicate import Range
 from ..operators.schema import DATE_TIME, FLOAT, INTEGER, STRING, TableSchema
-from ..sources import csv, sqlite
-from . import request
+from .. import config
+from ..sources import csv, select, sqlite
+from . import control, request
 
 LINEITEM = TableSchema.of(
     {"l_quantity": FLOAT, "l_extendedprice": FLOAT, "l_discount": FLOAT, "l_tax": FLOAT, "l_linenumber": INTEGER, "l_returnflag": STRING, "l_linestatus": STRING, "l_shipdate": DATE_TIME},
@@ -224,6 +225,16 @@ def _csv_round_trip(gzip: bool):
     return run
 
 
+def _configured_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source as a configuration names it: cells parted by semicolons, no line breaks in them."""
+    path = _folder(spark)
+    _as_text(spark, sf_dir).write.option("header", "true").option("escape", '"').option("sep", ";").csv(path)
+    columns = "".join(f'[searchable.{c.name}]\ntype = "{c.kind}"\nhidden = {str(c.hidden).lower()}\n' for c in _ORDER_FILE.columns)
+    settings = config.parse(f'[source]\ntype = "csv"\npath = "{path}"\ndelimiter = ";"\nmultiline = false\n[engine]\nmemory_limit = "64G"\nchunk_size_rows = 65536\nworker_threads = 2\n[api]\nbind = "127.0.0.1:0"\n{columns}')
+    df = select.scan(spark, settings)
+    return aggregate.times_of(selected(df, settings.schema, {"must": {"o_orderpriority": ["2-HIGH", "3-MEDIUM"]}}), settings.schema)
+
+
 _CUSTOMER_FILE = TableSchema.of({"c_acctbal": FLOAT, "c_nationkey": INTEGER, "c_mktsegment": STRING}, {"c_custkey": INTEGER})
 
 
@@ -297,7 +308,9 @@ def queries() -> dict:
         "q46_coercion_matrix": _coercion_matrix,
         "q47_sliding_request_counts": _request_counts,
         "q49_dictionary_profile": _dictionary,
-    }
+        "q55_answer_rows": lambda spark, sf_dir: control.answer(table(spark, sf_dir, "lineitem"), LINEITEM),
+        "q56_configured_csv": _configured_csv,
+    } | control.queries()
     return dict(sorted(out.items()))
 
 
@@ -316,5 +329,7 @@ def oracle_sql() -> dict[str, str]:
         "q45_sqlite_scan": stats_sql(_CUSTOMER_FILE, "customer", "c_mktsegment in ('BUILDING', 'MACHINERY') and c_acctbal < 0"),
         "q46_coercion_matrix": _coercion_sql(),
         "q47_sliding_request_counts": _request_counts_sql(),
+        "q55_answer_rows": control.answer_sql(LINEITEM, "l_returnflag in ('R', 'A') and l_quantity >= 3 and l_quantity < 40"),
+        "q56_configured_csv": times_sql(_ORDER_FILE, "(select o_orderdate, o_orderpriority from orders)", "o_orderpriority in ('2-HIGH', '3-MEDIUM')"),
         "q49_dictionary_profile": " union all ".join(f"select '{c}' as column_name, count(distinct {c}) as cardinality, count({c})::bigint as non_null from part" for c in ("p_brand", "p_type")),
-    }
+    } | control.oracle_sql()
