@@ -1,15 +1,16 @@
 """Approximate nearest neighbours: a hierarchical k-means tree, best-bin-first.
 
 The tree is fitted on a bounded sample (``SAMPLE`` vectors and ``SAMPLE_BYTES`` at most, those of the smallest hashes of vec_id), split by
-spherical k-means into ``BRANCH`` children until a leaf stands for ``LEAF`` rows of the table or holds ``LEAST`` sampled ones; so its depth
+spherical k-means into up to ``BRANCH`` children until a leaf stands for ``LEAF`` rows of the table or holds ``LEAST`` sampled ones; so its depth
 grows with the table. Every vector is then filed in a leaf. A query walks the tree with a priority queue: the nearest open node
 is taken, a leaf is visited, an inner node queues its children. How many leaves are visited is calibrated: for ``CALIBRATION`` queries,
 their true neighbours by brute force over all vectors (in blocks, each task keeps the best few) show how many visits reach the wanted recall,
 and all queries make as many. A query whose leaves hold fewer candidates than asked for visits on until they suffice. What share of the vectors
 that is depends on how clustered they are: ``report`` tells.
 
-Leaves are stored in blocks of a bounded number of vectors, so a vector that a third of the rows share doesn't gather in
-one task; a block meets the queries that visit it, in parts of a bounded number, finds its own best few for each, and these are merged.
+Neighbouring leaves make up ``REGIONS`` regions. A query goes to each region that holds one of its leaves once, with their numbers, and only meets the vectors in
+those. Regions are stored in blocks of ``BLOCK_BYTES`` at most, so a vector that a third of the rows share doesn't gather in one task; a block meets the queries
+that visit its region, in parts of ``PART_BYTES``, finds its own best few for each, and these are merged.
 Nearness is cosine in double precision. Each vector is first scaled by a power of two, which leaves the measure as it is and keeps squares from
 overflowing or vanishing. Sums are taken for each pair in the same order, so equal vectors tie exactly; ties go to the smaller vec_id.
 
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, SAMPLE_BYTES, BRANCH, LEAF, LEAST = 131_072, 96 << 20, 16, 64, 8
+SAMPLE, SAMPLE_BYTES, BRANCH, LEAF, LEAST = 131_072, 96 << 20, 16, 128, 8
 CALIBRATION, RECALL = 200, 0.95
-BLOCK, QUERIES, AT_ONCE = 4096, 20_000, 256
+REGIONS, BLOCK_BYTES, PART_BYTES, AT_ONCE = 64, 32 << 20, 16 << 20, 256
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -85,7 +86,8 @@ class Tree:
         if len(x) <= self.leaf or (x == x[0]).all():
             return self._leaf()
         other = x[int((x != x[0]).any(1).argmax())]
-        centres = np.unique(np.vstack([x[self.rng.choice(len(x), min(BRANCH, len(x)) - 1, replace=False)], other]), axis=0)
+        branch = min(BRANCH, len(x), max(2, -(-2 * len(x) // self.leaf)))
+        centres = np.unique(np.vstack([x[self.rng.choice(len(x), branch - 1, replace=False)], x[0], other]), axis=0)
         for _ in range(12):
             near = (x @ centres.T).argmax(1)
             moved = np.stack([x[near == k].sum(0) if (near == k).any() else centres[k] for k in range(len(centres))])
@@ -188,13 +190,17 @@ def calibrate(tree: Tree, queries: np.ndarray, q: np.ndarray, near: pd.DataFrame
 
 
 class Index(NamedTuple):
-    """Filed rows (vec_id, v, leaf), the tree, how many leaves a query visits and how many rows each leaf holds."""
+    """Filed rows (vec_id, v, leaf), the tree, the vectors' length, how many leaves a query visits and how many rows each leaf holds."""
 
     rows: DataFrame
     tree: Broadcast
+    width: int
     visits: int
     sizes: dict[int, int]
 
+    def region(self, leaf):
+        return leaf * REGIONS // max(REGIONS, self.tree.value.leaves)
+
 
 def build(embeddings: DataFrame, k: int = 5, every: int = 50, recall: float = RECALL) -> Index:
     valid = usable(embeddings)
@@ -216,73 +222,102 @@ def build(embeddings: DataFrame, k: int = 5, every: int = 50, recall: float = RE
     queries, q = some.column("vec_id").to_numpy().astype(np.int64), _matrix(some.column("v")) if some.num_rows else np.zeros((0, width))
     visits = calibrate(tree.value, queries, q, truth(rows, queries, q, k), recall) if len(queries) else 1
     sizes = {r["leaf"]: r["n"] for r in rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by the tree's leaves
-    return Index(rows, tree, visits, sizes)
+    return Index(rows, tree, width, visits, sizes)
 
 
 def visiting(index: Index, asked: DataFrame, k: int, vectors: bool = True) -> DataFrame:
-    """query_id, leaf and, if wanted, the vector q, for each visit."""
-    shared, visits, sizes = index.tree, index.visits, index.sizes
+    """query_id, region, the leaves that the query visits there and, if wanted, the vector q."""
+    shared, visits, sizes, scale = index.tree, index.visits, index.sizes, max(REGIONS, index.tree.value.leaves)
 
     def run(batches):
         for batch in batches:
-            query, at = [], []
+            query, regions, leaves, cut = [], [], [], [0]
             for i, v in enumerate(unit(_matrix(batch.column("v"))) if batch.num_rows else []):
-                held = 0
+                held, at = 0, []
                 for n, leaf in enumerate(shared.value.visits(v)):
                     if n >= visits and held > k:
                         break
                     held += sizes.get(leaf, 0)
-                    query.append(i)
                     at.append(leaf)
-                if len(at) > 50_000 or (at and i == batch.num_rows - 1):
+                found = np.sort(np.array(at, np.int32))
+                region, first = np.unique(found.astype(np.int64) * REGIONS // scale, return_index=True)
+                query += [i] * len(region)
+                regions += region.tolist()
+                leaves.append(found)
+                cut += (cut[-1] + np.append(first[1:], len(found))).tolist()
+                if cut[-1] > 500_000 or (query and i == batch.num_rows - 1):
                     of = pa.array(query, pa.int32())
-                    yield common.batch_of(query_id=batch.column("vec_id").take(of), leaf=pa.array(at, pa.int32()), **({"q": batch.column("v").take(of)} if vectors else {}))
-                    query, at = [], []
+                    lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(leaves)))
+                    yield common.batch_of(query_id=batch.column("vec_id").take(of), region=pa.array(regions, pa.int32()), leaves=lists, **({"q": batch.column("v").take(of)} if vectors else {}))
+                    query, regions, leaves, cut = [], [], [], [0]
 
-    return asked.mapInArrow(run, "query_id long, leaf int" + ", q array<double>" * vectors)
+    return asked.mapInArrow(run, "query_id long, region int, leaves array<int>" + ", q array<double>" * vectors)
 
 
 def _asked(index: Index, every: int) -> DataFrame:
     return index.rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v")
 
 
-def _visitors(index: Index, every: int, k: int) -> dict[int, int]:
-    """How many queries visit each leaf."""
-    return {r["leaf"]: r["n"] for r in visiting(index, _asked(index, every), k, False).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-
 def report(embeddings: DataFrame, k: int = 5, every: int = 50, recall: float = RECALL) -> dict:
     """The number of vectors, leaves and visits a query, and the share of all (query, vector) pairs that are compared."""
     index = build(embeddings, k, every, recall)
-    total, queries = sum(index.sizes.values()), _asked(index, every).count()
-    pairs = sum(n * index.sizes.get(leaf, 0) for leaf, n in _visitors(index, every, k).items())
-    return {"vectors": total, "leaves": index.tree.value.leaves, "visits": index.visits, "share": pairs / max(1, total * queries)}
+    asked = _asked(index, every)
+    by_leaf = visiting(index, asked, k, False).select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()
+    pairs = sum(r["n"] * index.sizes.get(r["leaf"], 0) for r in by_leaf)
+    return {"vectors": sum(index.sizes.values()), "leaves": index.tree.value.leaves, "visits": index.visits, "share": pairs / max(1, sum(index.sizes.values()) * asked.count())}
+
+
+def _best_in_leaves(left: pa.Table, right: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, vec_id and score of the k nearest to each query, among the vectors in the leaves that it visits."""
+    leaf, ids = left.column("leaf").to_numpy(), left.column("vec_id").to_numpy()
+    by = np.argsort(leaf, kind="stable")
+    leaf, ids, vectors = leaf[by], ids[by], _matrix(left.column("v"))[by]
+    lists = right.column("leaves").combine_chunks()
+    queries, q = right.column("query_id").to_numpy(), _matrix(right.column("q"))
+    visited = lists.flatten().to_numpy()
+    of = np.repeat(np.arange(len(queries)), np.diff(lists.offsets.to_numpy()))
+    order = np.argsort(visited, kind="stable")
+    visited, of = visited[order], of[order]
+    out = []
+    for one in np.unique(leaf).tolist():
+        rows, some = slice(*np.searchsorted(leaf, [one, one + 1])), of[slice(*np.searchsorted(visited, [one, one + 1]))]
+        if len(some):
+            out.append(_pairs(ids[rows], vectors[rows], queries[some], q[some], k))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    query, found, score = (np.concatenate(x) for x in zip(*out, strict=True))
+    by = np.lexsort((found, -score, query))
+    query, found, score = query[by], found[by], score[by]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], found[keep], score[keep]
 
 
 def search(embeddings: DataFrame, k: int = 5, every: int = 50, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by ``every``."""
     index = build(embeddings, k, every, recall)
-    visitors = _visitors(index, every, k)
-    blocks = {leaf: -(-n // BLOCK) for leaf, n in index.sizes.items()}
-    parts = {leaf: -(-n // QUERIES) for leaf, n in visitors.items()}
+    visitors = {r["region"]: r["n"] for r in visiting(index, _asked(index, every), k, False).groupBy("region").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held: dict[int, int] = {}
+    for leaf, n in index.sizes.items():
+        held[index.region(leaf)] = held.get(index.region(leaf), 0) + n
+    blocks = {region: -(-n * 8 * index.width // BLOCK_BYTES) for region, n in held.items()}
+    parts = {region: -(-n * 8 * index.width // PART_BYTES) for region, n in visitors.items()}
 
     def of(table: dict[int, int]):
-        """The table's number of a row's leaf; the map holds only those above 1."""
-        more = [F.lit(x) for leaf, n in table.items() if n > 1 for x in (leaf, n)]
-        return F.coalesce(F.create_map(*more)[F.col("leaf")], F.lit(1)) if more else F.lit(1)
+        """The table's number of a row's region; the map holds only those above 1."""
+        more = [F.lit(x) for region, n in table.items() if n > 1 for x in (region, n)]
+        return F.coalesce(F.create_map(*more)[F.col("region")], F.lit(1)) if more else F.lit(1)
 
     some = lambda n, c: F.pmod(F.xxhash64(c), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
-    stored = index.rows.withColumn("block", some(of(blocks), "vec_id")).withColumn("part", each(of(parts)))
+    region = F.floor(F.col("leaf").cast("long") * REGIONS / F.lit(max(REGIONS, index.tree.value.leaves))).cast("int")
+    stored = index.rows.withColumn("region", region).withColumn("block", some(of(blocks), "vec_id")).withColumn("part", each(of(parts)))
     asked = visiting(index, _asked(index, every), k).withColumn("block", each(of(blocks))).withColumn("part", some(of(parts), "query_id"))
 
     def met(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        if left.num_rows and right.num_rows:
-            found = _pairs(left.column("vec_id").to_numpy(), _matrix(left.column("v")), right.column("query_id").to_numpy(), _matrix(right.column("q")), k)
+        found = _best_in_leaves(left, right, k) if left.num_rows and right.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({n: pa.array(c) for n, c in zip(("query_id", "vec_id", "score"), found, strict=True)})
 
-    pairs = stored.groupBy("leaf", "block", "part").cogroup(asked.groupBy("leaf", "block", "part")).applyInArrow(met, "query_id long, vec_id long, score double")
+    pairs = stored.groupBy("region", "block", "part").cogroup(asked.groupBy("region", "block", "part")).applyInArrow(met, "query_id long, vec_id long, score double")
     ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
