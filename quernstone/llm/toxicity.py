@@ -6,17 +6,24 @@ space is a whole word, others are stems. The lexicon, its weights and its except
 occur in clean texts alone) are learned from labelled rows, as are the two factors and the offset of the score.
 
 The learner sees at most ``SAMPLE`` labelled rows of each class, those of the smallest hashes of doc_id, and their whole
-texts; rows without a label of 0 or 1 are left out. Without both classes the lexicon is empty and every score is the
+texts; rows without a label of 0 or 1 are left out. Of rows that repeat a doc_id it sees the one with the smallest text, and equal
+texts count once. The texts stay on the executors: what the driver gets are the terms that occur in several toxic ones, the
+phrases around terms and two numbers a text. Without both classes the lexicon is empty and every score is the
 share of label 1 (0 without labels). Null and empty texts score what no hits score. Rows are scored one by one, so
-copies, ties, repeated rows and further columns change nothing.
+copies, ties, repeated rows and further columns change nothing; a text of any length is scored whole, in time that grows
+with its length alone (but for a logarithm). An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -93,7 +100,9 @@ class Matcher:
         for end, (size, weight) in self.automaton.iter(folded):
             (spared if weight is None else hits).append((end - size + 1, end + 1, weight))
         if spared:
-            hits = [h for h in hits if not any(s[0] <= h[0] and h[1] <= s[1] for s in spared)]
+            spared.sort(key=lambda s: s[0])
+            starts, furthest = [s[0] for s in spared], list(itertools.accumulate((s[1] for s in spared), max))
+            hits = [h for h in hits if not (i := bisect.bisect_right(starts, h[0])) or furthest[i - 1] < h[1]]
         return sum(h[2] for h in hits)
 
     def score(self, text: str | None) -> float:
@@ -122,15 +131,10 @@ class Counts(NamedTuple):
     n: int
     by: Counter
 
-    def __add__(self, other):
-        return Counts(self.n + other.n, self.by + other.by)
 
-
-def counts(texts: list[str], among=None) -> Counts:
-    by: Counter = Counter()
-    for text in texts:
-        by.update(_terms(text) if among is None else _terms(text) & among)
-    return Counts(len(texts), by)
+def needed(texts: int) -> int:
+    """In how many of so many toxic texts a term of the lexicon occurs at least."""
+    return min(MIN_TEXTS, max(1, texts // 8))
 
 
 def lexicon(toxic: Counts, clean: Counts) -> dict[str, float]:
@@ -139,7 +143,7 @@ def lexicon(toxic: Counts, clean: Counts) -> dict[str, float]:
     A weight is the lower end (three standard errors) of the log odds of a text with the term. From the shortest stem that
     weighs enough, letters are added while the weight grows and the stem keeps its texts; a stem taken covers its extensions.
     """
-    bad = {t: n for t, n in toxic.by.items() if n >= min(MIN_TEXTS, max(1, toxic.n // 8))}
+    bad = {t: n for t, n in toxic.by.items() if n >= needed(toxic.n)}
 
     def low(t: str) -> float:
         n, m = bad[t] + 0.5, clean.by[t] + 0.5
@@ -161,18 +165,15 @@ def lexicon(toxic: Counts, clean: Counts) -> dict[str, float]:
     return taken
 
 
-def exceptions(terms: dict[str, float], toxic: list[str], clean: list[str]) -> tuple[str, ...]:
-    """Words and pairs of words around a term that occur in three clean texts or more and in no toxic one."""
-    stems, near = tuple(f" {t}" for t in terms), [Counter(), Counter()]
-    for k, texts in enumerate((clean, toxic)):
-        for text in texts:
-            if any(s in text for s in stems):
-                words, seen = text.split(), set()
-                for i, w in enumerate(words):
-                    if f"{w} " in terms or any(w[:n] in terms for n in range(1, len(w) + 1)):
-                        seen |= {w, *([f"{words[i - 1]} {w}"] if i else []), *([f"{w} {words[i + 1]}"] if i + 1 < len(words) else [])}
-                near[k].update(seen)
-    return tuple(sorted(p for p, n in near[0].items() if n >= 3 and not near[1][p]))
+def phrases(folded: str, terms: dict[str, float], stems: tuple[str, ...]) -> set[str]:
+    """Words that hold a term and pairs of words around them."""
+    out: set[str] = set()
+    if any(s in folded for s in stems):
+        words = folded.split()
+        for i, w in enumerate(words):
+            if f"{w} " in terms or any(w[:n] in terms for n in range(1, len(w) + 1)):
+                out |= {w, *([f"{words[i - 1]} {w}"] if i else []), *([f"{w} {words[i + 1]}"] if i + 1 < len(words) else [])}
+    return out
 
 
 def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -189,25 +190,99 @@ def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return theta
 
 
-def learn(toxic: list[str], clean: list[str], share: float) -> Model:
+def cell(label: int, folded: str) -> int:
+    """Where a text is counted: clean or toxic, and in which half."""
+    return 2 * label + (zlib.crc32(folded.encode("utf-8", "surrogatepass")) & 1)
+
+
+class Listed:
+    """Distinct folded texts with their labels."""
+
+    def __init__(self, toxic: Iterable[str], clean: Iterable[str]):
+        bad, good = set(toxic), set(clean)
+        self.rows = [(t, 1) for t in sorted(bad)] + [(t, 0) for t in sorted(good - bad or good)]
+
+    def counted(self, keys: Callable[[str], Iterable[str]], clean: int = 0, toxic: int = 0, most: int | None = None) -> dict[str, list[int]]:
+        """For each key, in how many texts of each cell it occurs; keys of at least so many clean and toxic texts, and at most so many toxic ones."""
+        by: dict[str, list[int]] = {}
+        for text, label in self.rows:
+            for key in keys(text):
+                by.setdefault(key, [0] * 4)[cell(label, text)] += 1
+        return {k: n for k, n in by.items() if n[0] + n[1] >= clean and n[2] + n[3] >= toxic and (most is None or n[2] + n[3] <= most)}
+
+    def measured(self, measure: Callable[[str], tuple[float, float]]) -> list[tuple[int, float, float]]:
+        """The label and two numbers of each text, in their own order."""
+        return sorted((label, *measure(text)) for text, label in self.rows)
+
+
+class Tabled:
+    """The same of a table (text, label) that stays on the executors."""
+
+    def __init__(self, texts: DataFrame):
+        self.texts = texts
+
+    def counted(self, keys: Callable[[str], Iterable[str]], clean: int = 0, toxic: int = 0, most: int | None = None) -> dict[str, list[int]]:
+        def batch(by):
+            names, cells = zip(*by, strict=True) if by else ((), ())
+            return common.batch_of(key=pa.array(names, pa.string()), cell=pa.array(cells, pa.int32()), n=pa.array(by.values(), pa.int64()))
+
+        def run(batches):
+            by: Counter = Counter()
+            for b in common.slices(batches):
+                for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+                    at = cell(label, text)
+                    by.update((key, at) for key in keys(text))
+                    if len(by) > 200_000:
+                        yield batch(by)
+                        by = Counter()
+            yield batch(by)
+
+        of = [F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(4)]
+        sums = self.texts.mapInArrow(run, "key string, cell int, n long").groupBy("key").agg(*of)
+        found = sums.where(f"n0 + n1 >= {clean} and n2 + n3 >= {toxic}" + (f" and n2 + n3 <= {most}" if most is not None else "")).collect()
+        return {r["key"]: [r[f"n{c}"] for c in range(4)] for r in found}
+
+    def measured(self, measure: Callable[[str], tuple[float, float]]) -> list[tuple[int, float, float]]:
+        def run(batches):
+            for b in common.slices(batches):
+                x = [measure(t) for t in b.column("text").to_pylist()]
+                yield common.batch_of(label=b.column("label"), x=pa.array([v for v, _ in x], pa.float64()), y=pa.array([v for _, v in x], pa.float64()))
+
+        return sorted(map(tuple, self.texts.mapInArrow(run, "label int, x double, y double").collect()))
+
+
+def learn(toxic: Iterable[str], clean: Iterable[str], share: float) -> Model:
     """A model of folded texts; ``share`` is that of label 1 among all labelled rows."""
-    if not toxic or not clean:
+    return learned(Listed(toxic, clean), share)
+
+
+def learned(texts: Listed | Tabled, share: float) -> Model:
+    n = texts.counted(lambda _: ("",)).get("", [0] * 4)
+    if not (n[0] + n[1] and n[2] + n[3]):
         return Model({}, (), (0.0, 0.0), math.log((share + 1e-6) / (1 - share + 1e-6)))
-    toxic, clean = sorted(set(toxic)), sorted(set(clean) - set(toxic)) or clean
-    halves = [(toxic[k::2] or toxic, clean[k::2] or clean) for k in (0, 1)]
-    bad = [counts(t) for t, _ in halves]
-    among = {t for c in bad for t in c.by if bad[0].by[t] + bad[1].by[t] > 1} or set(bad[0].by)
-    good = [counts(c, among) for _, c in halves]
-    x, y, w = [], [], []
-    for k in (0, 1):  # the score is fitted to the hits of a lexicon that hasn't seen the text
-        matcher = Matcher(Model(lexicon(bad[1 - k], good[1 - k]), (), (0.0, 0.0), 0.0))
-        for label, texts in zip((1, 0), halves[k], strict=True):
-            x += [features(matcher.weight(t), t.count(" ")) for t in texts]
-            y += [label] * len(texts)
-            w += [(share if label else 1 - share) / len(texts)] * len(texts)
-    theta = _fit(np.array(x), np.array(y), np.array(w))
-    terms = lexicon(bad[0] + bad[1], good[0] + good[1])
-    return Model(terms, exceptions(terms, toxic, clean), (float(theta[0]), float(theta[1])), float(theta[2]))
+    halves = [k for k in (0, 1) if n[2 + k]]
+    by = texts.counted(_terms, toxic=min(needed(n[2 + k]) for k in halves))
+
+    def counts(label: int, half: int | None) -> Counts:
+        cells = [2 * label, 2 * label + 1] if half is None or not n[2 * label + half] else [2 * label + half]
+        return Counts(sum(n[c] for c in cells), Counter({t: m for t, v in by.items() if (m := sum(v[c] for c in cells))}))
+
+    # the score is fitted to the hits of a lexicon that hasn't seen the text; a half without texts takes the whole
+    models = [Model(lexicon(counts(1, k), counts(0, k)), (), (0.0, 0.0), 0.0) for k in (0, 1)]
+    matchers: list[Matcher] = []
+
+    def measure(text: str) -> tuple[float, float]:
+        if not matchers:
+            matchers.extend(map(Matcher, models))
+        return features(matchers[1 - cell(0, text)].weight(text), text.count(" "))
+
+    points = np.array(texts.measured(measure))
+    each = (share / (n[2] + n[3]), (1 - share) / (n[0] + n[1]))
+    theta = _fit(points[:, 1:], points[:, 0], np.where(points[:, 0] == 1, *each))
+    terms = lexicon(counts(1, None), counts(0, None))
+    stems = tuple(f" {t}" for t in terms)
+    spared = texts.counted(lambda t: phrases(t, terms, stems), clean=3, most=0)
+    return Model(terms, tuple(sorted(spared)), (float(theta[0]), float(theta[1])), float(theta[2]))
 
 
 def held_out(doc_id):
@@ -222,11 +297,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     pick = lambda k: rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = pick(0).unionByName(pick(1)).distinct()
-    found = common.texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
-    texts: dict[int, list[str]] = {0: [], 1: []}
-    for r in sorted(found, key=lambda r: (r["doc_id"], r["toxic"], r["text"])):
-        texts[r["toxic"]].append(fold(r["text"]))
-    return learn(texts[1], texts[0], share)
+    found = common.texts_of(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+    def folded(batches):
+        for batch in common.slices(batches):
+            yield common.batch_of(text=pa.array([fold(t) for t in batch.column("text").to_pylist()], pa.string()), toxic=batch.column("toxic"))
+
+    texts = found.mapInArrow(folded, "text string, toxic int").groupBy("text").agg(F.max("toxic").alias("label"), F.min("toxic").alias("least"))
+    texts = common.saved(texts, "labelled")
+    if texts.where("label = 0").isEmpty():  # every clean text is a toxic one too: it counts as both
+        texts = texts.withColumn("label", F.explode(F.array_distinct(F.array("label", "least"))))
+    return learned(Tabled(texts.select("text", "label")), share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -306,6 +306,39 @@ def test_lexicon_stems_exceptions_and_length():
     assert spared.weight(" a gruvona bird ") == 0 < spared.weight(" a gruvona dog ")
 
 
+WORDS = ["bad", "badly", "good", "dog", "b4d", "not", "so"]
+
+
+@given(st.lists(st.sampled_from(WORDS), max_size=25), st.dictionaries(st.sampled_from(["bad", "bad ", "badl", "go", "dog "]), st.floats(0.5, 3), min_size=1), st.sets(st.sampled_from(["not bad", "bad dog", "badly so", "good", "so good dog"])))
+@settings(max_examples=200, deadline=None)
+def test_weight_by_naive_search(words, terms, spared):
+    text = toxicity.fold(" ".join(words))
+    want = 0.0
+    places = [(i, i + len(p) + 2) for p in spared for i in range(len(text)) if text.startswith(f" {p} ", i)]
+    for t, w in terms.items():
+        for i in range(len(text)):
+            if text.startswith(f" {t}", i) and not any(a <= i and i + len(t) + 1 <= b for a, b in places):
+                want += w
+    found = toxicity.Matcher(toxicity.Model(terms, tuple(sorted(spared)), (1.0, 1.0), 0.0)).weight(text)
+    assert found == pytest.approx(want)
+
+
+def test_many_hits_and_spared_phrases_in_one_text():
+    matcher = toxicity.Matcher(toxicity.Model({"bad": 1.0}, ("bad dog",), (1.0, 1.0), 0.0))
+    assert matcher.weight(toxicity.fold("bad dog bad cat " * 100_000)) == 100_000
+
+
+def test_texts_on_executors_teach_what_a_list_teaches(spark):
+    docs = common.read(spark, "/root/testdata/sf0.01", "documents")
+    labels = common.read(spark, "/root/testdata/sf0.01", "labels")
+    rows = labels.where(~toxicity.held_out(labels["doc_id"])).join(docs, "doc_id").select("toxic", "text").collect()
+    by = [[toxicity.fold(r["text"]) for r in rows if r["toxic"] == k] for k in (0, 1)]
+    want = toxicity.learn(by[1], by[0], len(by[1]) / len(rows))
+    found = toxicity.train(docs.union(docs), labels)
+    assert want.terms and found.terms.keys() == want.terms.keys() and found.exceptions == want.exceptions
+    assert [*found.terms.values(), *found.factors, found.offset] == pytest.approx([*want.terms.values(), *want.factors, want.offset])
+
+
 def auc(scores, labels):
     by = sorted(zip(scores, labels, strict=True))
     ranks: dict = {}
