@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact": exact.ORACLE}
+    return {"op3_exact": exact.ORACLE, "op7_substrings": substrings.ORACLE}

@@ -330,3 +330,17 @@ def _digest(batches):
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_words(common.read(spark, sf_dir, "documents")).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+ORACLE = """
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+starts as (select r, doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50),
+windows as (select r, doc_id, i, array_to_string(w[i : i + 49], ' ') as run from starts),
+firsts as (select run, min(doc_id) as lo from windows group by run),
+gone as (select windows.r, windows.i from windows join firsts on windows.run = firsts.run and windows.doc_id > firsts.lo),
+covered as (select distinct r, i + step as at from gone, (select unnest(range(0, 50)) as step)),
+words as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as at from d),
+kept as (select words.r, string_agg(word, ' ' order by words.at) as joined, count(*) as n from words left join covered on words.r = covered.r and words.at = covered.at where covered.r is null group by words.r)
+select d.doc_id, len(d.w)::bigint as n_words, len(d.w) - coalesce(kept.n, 0) as n_removed, sha256(coalesce(kept.joined, '')) as kept_sha256
+from d left join kept on d.r = kept.r
+"""

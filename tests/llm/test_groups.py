@@ -231,6 +231,16 @@ def test_substrings_empty_and_repeated_ids(docs_of):
     assert sorted((r["doc_id"], r["n_removed"]) for r in rows) == [(1, 0), (1, 0), (2, 80)]
 
 
+def test_substrings_oracle(spark):
+    sf = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = c.sql(substrings.ORACLE)
+    assert want.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    rows = sorted(tuple(r) for r in substrings.op7_substrings(spark, sf).collect())
+    assert rows == sorted(want.fetchall()) and sum(r[2] for r in rows) > 0
+
+
 def test_automaton():
     m = substrings.Automaton()
     m.add(list("abcbc"))
