@@ -7,7 +7,11 @@ secrets          every document stays; secrets in its text are masked and n_char
 packing          pieces of the documents' ids in sequences of at most 4096 tokens
 
 All stages but the last return the columns of documents. Models and counts are learned from the stage's own input. Null and
-empty texts are texts without words: equal to each other, so one of them stays.
+empty texts are texts without words: equal to each other, so one of them stays; blank ones join them at near dedup. A null doc_id
+counts as the smallest one and is null again in the result. Texts of any length are read whole by every stage. Ties go to the smallest doc_id, and of
+rows that repeat doc_id and text one stays; of one doc_id with different texts, near dedup keeps one row, of the smallest text. Nulls in other
+columns are carried along, as are further columns, whatever their names, up to packing, which returns its own. An empty table gives no
+pieces; without labels no document is rejected.
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Learned scores, consistent sampling and tokenization have no SQL; tests compare the stages with brute force.
+#: Learned scores, consistent sampling and tokenization have no SQL; tests/llm compares the run with brute force.
 ORACLE_SQL = None
 
 
