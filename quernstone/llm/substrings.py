@@ -12,9 +12,11 @@ before them; where the longest match that ends at a word has the window's length
 after which the stretch joins the reference. The automata compare words, not hashes.
 
 Texts with the same words, told by a 128-bit digest of them, are settled before: all but those with the smallest doc_id go whole (if they have a window at all), and
-only that document's anchors are counted. A shard with more than ``HOT`` stretches isn't put in one task and has no automaton: its windows are known by 128-bit digests
-of their words, the smallest document of each is found by sums that are taken before the shuffle too, and the shard's stretches are dealt over several tasks,
-each of which gets the windows that recur once. There are as many tasks as keep these copies below ``COPIES`` rows for each stretch.
+only that document's anchors are counted. A shard with more than ``HOT`` stretches is dealt over several tasks. Its references are then only the stretches of documents that
+are the first to hold some recurring window, found by 128-bit digests of windows and sums that are taken before the shuffle too; every other window with a smaller
+holder is in one of them. They are sent to each task of the shard (as many tasks as keep these copies below ``COPIES`` rows for each stretch) and join its automaton in order of
+doc_id, and the task's own stretches stream through it. More than ``BLOCK`` references are cut into blocks, with an automaton in a task for each, and every stretch streams through all
+of them: memory is bounded, work grows with stretches times blocks.
 
 Null texts have no words, shorter texts than a window lose none, texts of any length are read whole. A null doc_id counts as the smallest. Rows with equal doc_id don't remove each
 other's words. Further columns, whatever their names, are ignored. An empty table gives an empty table.
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, HOT, COPIES = 50, 1000, 32
+WINDOW, HOT, BLOCK, COPIES = 50, 1000, 4096, 4
+BOTH, TEXT, REFERENCE = 0, 1, 2  # what a stretch is to a task: matched and added, matched only, added only
 _MAX = np.uint64((1 << 64) - 1)
 
 
@@ -161,24 +164,31 @@ def _stretches(window: int):
 
 
 def _streamed(window: int):
-    """Rows sorted by anchor and doc_id: each shard's stretches against the automaton of those with smaller ids."""
+    """Rows sorted by anchor, part, block and doc_id: each task's stretches against the automaton of references with smaller ids."""
 
     def run(batches):
-        anchor, doc, machine, waiting, out = None, None, None, [], []
+        place, doc, machine, waiting, known, out = None, None, None, [], {}, []
         for batch in batches:
-            for a, d, k, start, data in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "k", "start", "words")), strict=True):
-                if a != anchor:
-                    anchor, doc, machine, waiting = a, d, None, []
+            for *at, role, d, k, start, data in zip(*(batch.column(c).to_pylist() for c in ("anchor", "part", "block", "role", "doc_id", "k", "start", "words")), strict=True):
+                if at != place:
+                    place, doc, machine, waiting, known = at, d, None, [], {}
                 elif d != doc:
+                    if waiting:
+                        machine, known = machine or Automaton(), {}
                     for words in waiting:
-                        machine = machine or Automaton()
                         machine.add(words)
                     doc, waiting = d, []
-                words = data.split()
-                matched = machine.matches(words) if machine else []
-                out += [(d, k, start + b, start + e) for b, e in spans(matched, window)]
-                if not matched or matched[-1] < len(words):
-                    waiting.append(words)
+                if len(known) > 50_000:
+                    known = {}
+                if data not in known:  # equal stretches are matched once, until the automaton grows
+                    words = data.split()
+                    matched = machine.matches(words) if machine else []
+                    known[data] = spans(matched, window), bool(matched) and matched[-1] == len(words)
+                found, met = known[data]
+                if role != REFERENCE:
+                    out += [(d, k, start + b, start + e) for b, e in found]
+                if role != TEXT and not met:
+                    waiting.append(data.split())
             if out:
                 columns = list(zip(*out, strict=True))
                 yield common.batch_of(doc_id=pa.array(columns[0], pa.int64()), k=pa.array(columns[1], pa.int64()), begin=pa.array(columns[2], pa.int32()), end=pa.array(columns[3], pa.int32()))
@@ -187,8 +197,8 @@ def _streamed(window: int):
     return run
 
 
-def _windows_of(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests of the windows of some stretches (two numbers each), the row of each, and where in the stretch it begins. Equal stretches are read once."""
+def _windows_of(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the windows of some stretches (two numbers each), and the row of each. Equal stretches are read once."""
     known: dict[bytes, np.ndarray] = {}
     found = []
     for data in batch.column("words").to_pylist():
@@ -198,13 +208,11 @@ def _windows_of(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndar
             joined = b" ".join(words)
             known[data] = _digests([joined[(ends[i - 1] if i else 0) : ends[i + window - 1] - 1] for i in range(len(words) - window + 1)])
         found.append(known[data])
-    sizes = np.array([len(f) for f in found], np.int64)
-    row = np.repeat(np.arange(len(found)), sizes)
-    return np.concatenate(found), row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
 
 
 def _first_holders(window: int):
-    """(anchor, w1, w2, lo, hi): the smallest and the largest document of each window of a hot shard, over a task's stretches."""
+    """(anchor, w1, w2, lo, hi): the smallest and the largest document of each window of a large shard, over a task's stretches."""
     names = ("anchor", "w1", "w2", "lo", "hi")
 
     def merged(parts):
@@ -219,7 +227,7 @@ def _first_holders(window: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            w, row, _ = _windows_of(batch, window)
+            w, row = _windows_of(batch, window)
             doc = batch.column("doc_id").to_numpy()[row]
             parts.append((batch.column("anchor").to_numpy()[row], w[:, 0], w[:, 1], doc, doc))
             held += len(w)
@@ -235,39 +243,7 @@ def _first_holders(window: int):
     return run
 
 
-def _against_holders(window: int):
-    """Sorted by anchor, part and kind: first the windows that recur around an anchor, with their smallest document, then stretches; the spans that a smaller document holds too."""
-
-    def run(batches):
-        place, first = None, {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            stretch = batch.filter(pa.array(batch.column("kind").to_numpy() == 1))
-            hashes, rows, begins = _windows_of(stretch, window) if stretch.num_rows else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-            cut, out, i = np.searchsorted(rows, np.arange(stretch.num_rows + 1)), [], 0
-            keys = list(map(tuple, hashes.tolist()))
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "part", "kind", "doc_id", "k", "start", "w1", "w2")]
-            for a, part, kind, d, k, start, w1, w2 in zip(*columns, strict=True):
-                if (a, part) != place:
-                    place, first = (a, part), {}
-                if kind == 0:
-                    first[w1, w2] = d
-                    continue
-                gone = [int(begins[j]) for j in range(cut[i], cut[i + 1]) if first.get(keys[j], d) < d]
-                i += 1
-                if gone:
-                    ends = np.zeros(gone[-1] + window, np.int64)
-                    ends[np.array(gone) + window - 1] = window
-                    out += [(d, k, start + b, start + e) for b, e in spans(ends.tolist(), window)]
-            if out:
-                columns = list(zip(*out, strict=True))
-                yield common.batch_of(doc_id=pa.array(columns[0], pa.int64()), k=pa.array(columns[1], pa.int64()), begin=pa.array(columns[2], pa.int32()), end=pa.array(columns[3], pa.int32()))
-
-    return run
-
-
-def repeated(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def repeated(docs: DataFrame, window: int = WINDOW, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """doc_id, k (a hash of the text), whole (all words go) and spans (begin and end of removed runs of words), for documents that lose words."""
     texts = common.texts_of(docs, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("k"))
     profiles = common.saved(texts.mapInArrow(_profiles(window), "doc_id long, k long, n long, h1 long, h2 long, anchors array<long>, places array<int>"), "profiles")
@@ -282,18 +258,22 @@ def repeated(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame
         by_doc = of.groupBy("doc_id", "k").agg(F.collect_list(F.struct("anchor", "place")).alias("hits"))
         return texts.join(by_doc, ["doc_id", "k"]).mapInArrow(_stretches(window), "anchor long, doc_id long, k long, start int, words binary")
 
-    span = "doc_id long, k long, begin int, end int"
-    found = stretches(hits.where(F.col("n") <= hot)).repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_streamed(window), span)
+    whole = lambda of: of.select("anchor", *(F.lit(0).alias(c) for c in ("part", "block")), F.lit(BOTH).alias("role"), "doc_id", "k", "start", "words")
+    dealt = whole(stretches(hits.where(F.col("n") <= hot)))
     if not shared.where(F.col("n") > hot).isEmpty():
         heated = common.saved(stretches(hits.where(F.col("n") > hot)), "heated")
         held = heated.mapInArrow(_first_holders(window), "anchor long, w1 long, w2 long, lo long, hi long").groupBy("anchor", "w1", "w2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-        told = common.saved(held.select("anchor", "w1", "w2", "lo"), "told")
-        # a shard's stretches in parts, and a copy of its recurring windows for each part
-        sizes = told.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).join(shared, "anchor")
-        sizes = common.saved(sizes.select("anchor", F.greatest(F.lit(1), F.least(F.ceil(F.col("n") / hot), F.floor(COPIES * F.col("n") / F.col("m")))).cast("int").alias("parts")), "parts")
-        windows = told.join(sizes, "anchor").select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("lo").alias("doc_id"), F.lit(0).cast("long").alias("k"), F.lit(0).alias("start"), F.lit(b"").alias("words"), "w1", "w2")
-        dealt = heated.join(sizes, "anchor").select("anchor", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "doc_id", "k", "start", "words", F.lit(0).cast("long").alias("w1"), F.lit(0).cast("long").alias("w2"))
-        found = found.unionByName(windows.unionByName(dealt).repartition("anchor", "part").sortWithinPartitions("anchor", "part", "kind").mapInArrow(_against_holders(window), span))
+        told = common.saved(held.select("anchor", F.col("lo").alias("doc_id")).distinct(), "told")
+        references = common.saved(heated.join(told, ["anchor", "doc_id"], "left_semi"), "references")
+        sizes = references.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).join(shared, "anchor")
+        parts = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") / hot), F.floor(COPIES * F.col("n") / F.col("m"))))
+        sizes = common.saved(sizes.select("anchor", parts.cast("int").alias("parts"), F.ceil(F.col("m") / block).cast("int").alias("blocks")), "parts")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = lambda n: F.pmod(F.xxhash64("doc_id", "start"), F.col(n)).cast("int")
+        row = ("doc_id", "k", "start", "words")
+        dealt = dealt.unionByName(references.join(sizes, "anchor").select("anchor", every("parts").alias("part"), one("blocks").alias("block"), F.lit(REFERENCE).alias("role"), *row))
+        dealt = dealt.unionByName(heated.join(sizes, "anchor").select("anchor", one("parts").alias("part"), every("blocks").alias("block"), F.lit(TEXT).alias("role"), *row))
+    found = dealt.repartition("anchor", "part", "block").sortWithinPartitions("anchor", "part", "block", "doc_id").mapInArrow(_streamed(window), "doc_id long, k long, begin int, end int")
     cut = found.groupBy("doc_id", "k").agg(F.collect_set(F.struct("begin", "end")).alias("spans")).withColumn("whole", F.lit(False))
     return cut.unionByName(copies.withColumn("spans", F.lit(None).cast("array<struct<begin:int,end:int>>")).withColumn("whole", F.lit(True)))
 
@@ -314,10 +294,10 @@ def _kept(batches):
         yield common.batch_of(doc_id=batch.column("doc_id"), n_words=pa.array(counts, pa.int64()), n_removed=pa.array(removed, pa.int64()), kept=pa.array(texts, pa.binary()))
 
 
-def kept_words(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def kept_words(docs: DataFrame, window: int = WINDOW, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and kept (binary), the remaining words joined by one space."""
     texts = common.texts_of(docs, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("k"))
-    found = common.saved(repeated(docs, window, hot), "repeated")
+    found = common.saved(repeated(docs, window, hot, block), "repeated")
     joined = texts.join(found, ["doc_id", "k"], "left").select("doc_id", "text", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
     return common.ids_back(joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept binary"))
 

@@ -205,8 +205,8 @@ def without_repeats(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("window", "hot"), [(50, 1000), (50, 4), (6, 1000), (6, 3)])
-def test_substrings(docs_of, odd, window, hot):
+@pytest.mark.parametrize(("window", "hot", "block"), [(50, 1000, 4096), (50, 4, 4096), (50, 2, 1), (6, 1000, 4096), (6, 3, 4096), (6, 1, 2)])
+def test_substrings(docs_of, odd, window, hot, block):
     rng = random.Random(window + hot)
     shared = [phrase(rng, rng.randrange(window, 3 * window)) for _ in range(5)]
     texts = list(odd)
@@ -219,7 +219,7 @@ def test_substrings(docs_of, odd, window, hot):
         texts.append(rng.choice([" ", "\n", "  "]).join(t))
     texts += texts[-8:]
     ids = rng.sample(range(10_000), len(texts))
-    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"])) for r in substrings.kept_words(docs_of(texts, ids), window, hot).collect())
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"])) for r in substrings.kept_words(docs_of(texts, ids), window, hot, block).collect())
     assert got == without_repeats(list(zip(ids, texts, strict=True)), window)
     assert sum(r[2] for r in got) > 0
 
