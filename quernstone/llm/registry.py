@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact, lm, neardup, packing, secrets, shards, substrings, toxicity
+from . import ann, bpe, exact, lm, neardup, packing, parts, secrets, shards, substrings, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_packing": packing.op9_packing,
         "op10_shards": shards.op10_shards,
+        **parts.QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact": exact.ORACLE, "op7_substrings": substrings.ORACLE}
+    return {"op3_exact": exact.ORACLE, "op7_substrings": substrings.ORACLE, **parts.SQL}
