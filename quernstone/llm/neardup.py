@@ -35,7 +35,7 @@ from . import common
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
 DAMPING = 0.1
-BUCKETS, SEGMENTS = 1 << 20, 64
+BUCKETS, SEGMENTS, HOT = 1 << 20, 64, 1000
 BLOCK, UNIT = 128, 2048  # a block's members count one each, and one more for each so many words
 _GRID = 1 << 12
 _U = np.uint64
@@ -288,6 +288,13 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = common.saved(labels.join(hooks.withColumnRenamed("root", "c"), "c", "left").select("doc_id", F.coalesce("to", "c").alias("c")), "labels")
 
 
+def met(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Rows with their group's columns. Groups of over a ``HOT``-th of the rows, fewer than ``HOT`` whatever the input, are broadcast, so that none lands in one task."""
+    hot = F.broadcast(groups.where(F.col(n) > F.lit(total / HOT)))
+    others = rows.join(hot.select(*keys), keys, "left_anti").join(groups, keys)
+    return rows.join(hot, keys).unionByName(others)
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), class_size and kept (it is that document)."""
     return common.ids_back(_classes(docs, threshold, block), "doc_id", "class_id")
@@ -299,7 +306,7 @@ def _classes(docs: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame
         docs = common.saved(texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "documents")
     idf = inverse_frequencies(docs)
     rows = common.saved(signatures(docs, idf), "signatures")
-    whole = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    whole = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     reps = whole.select(F.col("rep").alias("doc_id")).distinct()
     texts = common.texts_of(docs)
     signed = rows.where("keys is not null").join(reps, "doc_id", "left_semi").select("doc_id", "units", F.posexplode("keys").alias("band", "key"))
@@ -312,10 +319,11 @@ def _classes(docs: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame
     needed = texts.join(links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct().hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     labels = components(labels, common.saved(verified(links, common.saved(needed, "texts"), idf, threshold), "held"))
     labels = components(labels, common.saved(inner_links(members, labels, texts, idf, threshold, block), "held"))
-    of_rep = whole.join(labels, whole["rep"] == labels["doc_id"], "left").select("h1", "h2", F.coalesce("c", "rep").alias("class_id"))
-    placed = common.saved(rows.select("doc_id", "h1", "h2").join(of_rep, ["h1", "h2"]).select("doc_id", "class_id"), "placed")
-    sizes = common.saved(placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "sizes")
-    return placed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    of_rep = common.saved(whole.join(labels, whole["rep"] == labels["doc_id"], "left").select("h1", "h2", "n", F.coalesce("c", "rep").alias("class_id")), "reps")
+    total = rows.count()
+    placed = common.saved(met(rows.select("doc_id", "h1", "h2"), of_rep, ["h1", "h2"], "n", total).select("doc_id", "class_id"), "placed")
+    sizes = common.saved(of_rep.groupBy("class_id").agg(F.sum("n").alias("class_size")), "sizes")
+    return met(placed, sizes, ["class_id"], "class_size", total).select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
